@@ -9,9 +9,9 @@
    pairs as members.  Confirmed links give connected components.
 4. Round two compares what a bucket still holds of different components: by
    pairs in buckets up to ``SMALL`` members, and in larger ones by pairs of
-   blocks of about ``BLOCK`` members, within one task each.  So every candidate
-   pair is either compared or already in one component, and no group emits all
-   its pairs.
+   blocks of about ``BLOCK`` members, each within one call that returns only the
+   links that join components.  So every candidate pair is either compared or
+   already in one component, and no group emits all its pairs.
 5. A comparison reads the signatures in batches.  With m of n values equal, the
    posterior of the similarity is Beta(m + 1, n - m + 1); the pair is dropped once
    the chance that it reaches the threshold is under ``MISS``.  Survivors are
@@ -47,7 +47,7 @@ from .common import connected_components, table, written
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-6
-SMALL = 24
+SMALL = 8
 BLOCK = 256
 #: Partners of one class per verification group.
 PARTNERS = 256
@@ -191,37 +191,71 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.explode(keys).alias("bucket"))
 
 
-def across(buckets: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """Plausible pairs of different components in (bucket, node, comp) with bucket sizes n."""
+def pairs_across(buckets: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most ``SMALL`` members."""
     little = buckets.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "comp"))).alias("m"))
     little = little.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    little = little.where("x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    little = compared(little, classes, near)
+    return little.where("x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
+
+def links_across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, k: int, near: tuple[int, int]) -> DataFrame:
+    """Confirmed links between components in larger buckets: enough to join what belongs together, so fewer than members.
+
+    Each pair of blocks is one group of bounded size, with its texts.  Plausible
+    pairs are confirmed on full sets, the likeliest first, unless the group's links
+    so far have joined their components.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     large = buckets.where(F.col("n") > SMALL).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")})
     large = large.select("bucket", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    large = large.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(classes.select("node", "sig"), "node")
+    large = large.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    large = large.join(classes, "node").join(texts, "rep").select("bucket", "i", "j", "own", "node", "comp", "sig", "text")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
+        node, text = rows["node"].to_numpy(object), rows["text"].to_numpy(object)
         sig, comp, own = _sig(rows["sig"]), pd.factorize(rows["comp"])[0], rows["own"].to_numpy()
-        first = np.flatnonzero(own == rows["i"].iloc[0])
-        second = np.flatnonzero(own == rows["j"].iloc[0])
-        same, out = rows["i"].iloc[0] == rows["j"].iloc[0], []
+        first, second = np.flatnonzero(own == rows["i"].iloc[0]), np.flatnonzero(own == rows["j"].iloc[0])
+        same, found = rows["i"].iloc[0] == rows["j"].iloc[0], []
         for x in first:
             ys = second[comp[second] != comp[x]]
             ys = ys[ys > x] if same else ys
             ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], near)] if len(ys) else ys
             if len(ys):
-                p = np.column_stack([np.full(len(ys), x), ys])
-                out.append(np.sort(p, axis=1))
-        p = np.concatenate(out) if out else np.empty((0, 2), int)
-        node = rows["node"].to_numpy(object)
-        return pd.DataFrame({"a": node[p[:, 0]], "b": node[p[:, 1]]})
-
-    large = large.select("bucket", "i", "j", "own", "node", "comp", "sig").groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
-    return little.unionAll(large)
+                found.append(np.column_stack([np.full(len(ys), x), ys, -(sig[ys] == sig[x]).sum(1)]))
+        sets: dict[int, np.ndarray | None] = {}
+
+        def full(i: int) -> np.ndarray | None:
+            """The set of row i; None where the row is another that has the same doc_id."""
+            if i not in sets:
+                s = words.shingles(text[i].encode() if text[i] is not None else None, k)
+                sets[i] = s if fingerprint(s) == bytes(node[i]) else None
+            return sets[i]
+
+        root = list(range(len(set(comp.tolist()))))
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        pairs = np.concatenate(found) if found else np.empty((0, 3), int)
+        for x, y, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+            a, b = top(comp[x]), top(comp[y])
+            if a == b:
+                continue
+            s, t = full(x), full(y)
+            if s is None or t is None:
+                continue
+            both = words.overlap(s, t)
+            if near[1] * both >= near[0] * (len(s) + len(t) - both):
+                root[a] = b
+                out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return large.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
 def components(docs: DataFrame, k: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
@@ -240,7 +274,8 @@ def components(docs: DataFrame, k: int = SHINGLE, near: tuple[int, int] = NEAR)
     mixed = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "n")
     left = written(left.join(mixed, "bucket"), "left")
     if not left.isEmpty():
-        more = written(confirmed(across(left, classes, near), classes, docs, k, near), "links")
+        pairs = compared(pairs_across(left), classes, near)
+        more = written(confirmed(pairs, classes, docs, k, near).unionAll(links_across(left, classes, docs, k, near)), "links")
         comps = connected_components(links.unionAll(more))
     named = comps.join(classes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
