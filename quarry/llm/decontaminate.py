@@ -109,6 +109,8 @@ class Space:
 def latent_space(docs: DataFrame) -> Space:
     """The randomised SVD of all passages; what reaches the driver has a fixed size."""
     got = sketch(docs).toArrow().sort_by("chunk")
+    if not got.num_rows:  # no documents
+        return Space(np.zeros((TERMS, 1), np.float32), np.zeros(TERMS))
     y = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.float32).reshape(TERMS, SKETCH)
     df = np.frombuffer(b"".join(got.column("df").to_pylist()), np.int64)
     n = got.column("passages")[0].as_py()
