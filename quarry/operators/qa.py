@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.chunks import select_context, split_chunks
 from ..functions.doctype import document_type
@@ -50,7 +51,7 @@ def coerced(items: list) -> list[dict]:
     return out
 
 
-@F.udf(PAIRS)
+@F.udf(T.ArrayType(T.StructType([T.StructField("is_object", T.BooleanType()), *(T.StructField(c, T.StringType()) for c in ("instruction", "input", "output"))])))
 def reply_pairs(reply):
     """A reply's pairs; null if it can't be parsed.  JSON of mixed types needs Python's coercion."""
     try:
