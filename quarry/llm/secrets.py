@@ -14,6 +14,8 @@ Offsets count code points; ends are exclusive.  A span is the whole match.
 Defined results: null text is empty text, with no spans and the digest of "".
 Spans of several kinds may overlap; an entropy span that lies within a base span
 is left out.  Repeated rows each get their result; only named columns are read.
+``scan`` puts its columns in place of any of the same names (those and ``_`` with
+a kind's name); ``redacted`` keeps every column, whatever its name.
 """
 
 from __future__ import annotations
@@ -150,7 +152,9 @@ def scan(df: DataFrame, text: str = "text", classes: tuple[EntropyClass, ...] =
 
 def redacted(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of ``text`` (overlaps joined) replaced by ``mask``; null text stays null."""
-    out = scan(df.withColumnRenamed(text, "_t"), "_t")
+    rest = [c for c in df.columns if c != text]
+    # The other columns travel as one, so no name of theirs meets one of the scan's.
+    out = scan(df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(text).alias("_t")), "_t")
     t = F.col("_t")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -161,9 +165,8 @@ def redacted(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(new, keep).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    names = [text if c == "_t" else c for c in out.columns if c not in ("base_spans", "spans")]
-    out = out.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(t))
-    return out.select(*names)
+    masked = F.when(F.size("spans") > 0, done).otherwise(t)
+    return out.select(*((masked if c == text else F.col("_row")[c]).alias(c) for c in df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
