@@ -292,7 +292,7 @@ def kept(doc: Column, component: Column) -> Column:
 def deduplicated(docs: DataFrame, k: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with the least doc_id."""
     gone = components(docs.select("doc_id", "text"), k, near).where(~kept(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
