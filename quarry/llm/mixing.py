@@ -20,7 +20,9 @@ its blocks.  Nothing depends on partitioning; reruns agree.
 
 Defined results: null text has size 0; a document of size 0 is never taken.
 Null and equal sources are groups like any other.  Null or repeated ids hash by
-id and text alike, so equal rows are taken alike.  Empty input gives no rows.
+id and text alike, so equal rows are taken alike, in a cut block as well.  Empty
+input gives no rows.  ``mixed`` puts its copy and shard in place of columns of
+these names; other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -165,8 +167,10 @@ def plan(docs: DataFrame, blocks: int = BLOCKS, levels: int = LEVELS, seed: int
     out = d.join(c, F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._block") == F.col("c._block"))).select("d.*", "c.source_size", "c.target", "c.source_no", "c.passes", "c.extra", "c.cut", "c.open", "c.shards")
     # In a cut block documents come in the permutation's order while at least half of each is below the rest.
     cut = out.where("cut")
-    upto = F.sum("size").over(Window.partitionBy("source_no").orderBy("_u", "doc_id", "_key").rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("again", (F.coalesce(upto, F.lit(0)) + F.col("size") / 2.0 <= F.col("open")).cast("int"))
+    # Equal rows are peers: they come and go together.
+    cut = cut.withColumn("_upto", F.sum("size").over(Window.partitionBy("source_no").orderBy("_u", "doc_id", "_key")))
+    peers = F.sum("size").over(Window.partitionBy("source_no", "_u", "doc_id", "_key"))
+    cut = cut.withColumn("again", (F.col("_upto") - peers / 2.0 <= F.col("open")).cast("int")).drop("_upto")
     out = out.where("not cut").withColumn("again", F.col("extra")).unionByName(cut)
     # The drawn slot comes first among a block's shards; a document that the cut leaves out skips it.
     has = F.col("extra") + F.col("cut").cast("int")
@@ -182,12 +186,15 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` once per take, with ``shard``; shuffled within each shard."""
-    p = plan(prepared(docs), **options).where("takes > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_key").alias("_k"), "shards").distinct()
-    d = docs.withColumn("_k", F.xxhash64("text", "source"))
-    rows = d.join(p, d["doc_id"].eqNullSafe(p["_id"]) & (d["_k"] == p["_k"])).select(*(d[c] for c in docs.columns), p["shards"])
-    rows = rows.select(*docs.columns, F.posexplode("shards").alias("copy", "shard"))
-    spread = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1 << 10))
-    return rows.repartition(F.col("shard"), spread).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "doc_id", "copy"))
+    p = plan(prepared(docs), **options).where("takes > 0").select(F.col("doc_id").alias("_id"), "_key", "shards").distinct()
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shard")]
+    # A row's columns travel as one, so no name of theirs meets one of the plan's.
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text", "source").alias("_k"))
+    rows = d.join(p, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
+    rows = rows.select("_row", "_d", F.posexplode("shards").alias("copy", "shard"))
+    spread = F.pmod(F.xxhash64("_d", "copy"), F.lit(1 << 10))
+    rows = rows.repartition(F.col("shard"), spread).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "_d", "copy"))
+    return rows.select("_row.*", "copy", "shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

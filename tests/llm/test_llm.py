@@ -241,7 +241,11 @@ def test_secrets(spark):
         order = [k.name for k in secrets.BASE]
         assert [(s["start"], s["kind"], s["end"]) for s in got[i]["base_spans"]] == sorted(want, key=lambda x: (x[0], order.index(x[1]))), t
     assert [s["kind"] for s in got[4]["spans"]] == ["entropy_base64"] and not got[6]["spans"]
-    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(df.drop("spans")).collect()}
+    clash = df.withColumns({c: F.lit(c) for c in ("base_spans", "_t", "_row", "_assign")})
+    assert secrets.redacted(clash).columns == clash.columns
+    got = secrets.redacted(clash).collect()
+    assert {(r["spans"], r["base_spans"], r["_t"], r["_row"], r["_assign"]) for r in got} == {("clash", "base_spans", "_t", "_row", "_assign")}
+    masked = {r["doc_id"]: r["text"] for r in got}
     assert masked[1] == "PASSWD:short [SECRET]' apikey=x [SECRET]" and masked[3] is None and masked[2] == ""
 
 
@@ -345,6 +349,7 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert len(got) == len(rows) + 2
     want = brute_components(rows, 4, near_dup.NEAR)
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    df = df.withColumns({"_gone": F.lit(1), "component_id": F.lit(2)})
     left = {r["doc_id"] for r in near_dup.deduplicated(df).collect()}
     assert left == {i for i, (_, c) in want.items() if c == i} | {None}
     assert near_dup.components(df.limit(0)).count() == 0
@@ -395,6 +400,23 @@ def test_mixing(spark):
     assert mixing.plan(mixing.prepared(df.limit(0))).count() == 0
 
 
+def test_mixing_repeated_rows_and_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", "ab"[i % 3 == 0], 1) for i in range(300) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, DOCS)
+    takes = defaultdict(set)
+    # One block a source, so that it is cut.
+    p = mixing.plan(mixing.prepared(df), blocks=1).collect()
+    for r in p:
+        takes[r["doc_id"]].add((r["takes"], tuple(r["shards"])))
+    assert all(len(x) == 1 for x in takes.values()) and len({n for x in takes.values() for n, _ in x}) > 1
+    clash = df.withColumns({c: F.lit(c) for c in ("shards", "_k", "_key", "_id", "_row", "_d", "shard", "Copy")})
+    m = mixing.mixed(clash, blocks=1)
+    assert m.columns == [*(c for c in clash.columns if c not in ("shard", "Copy")), "copy", "shard"]
+    got = m.collect()
+    assert len(got) == sum(r["takes"] for r in p)
+    assert {(r["shards"], r["_k"], r["_row"], r["_d"]) for r in got} == {("shards", "_k", "_row", "_d")}
+
+
 def test_hypergeometric_draws(spark):
     rows = spark.range(20_000).select(mixing.hypergeometric(common.unit(F.lit(1), F.col("id")), F.lit(30), F.lit(100), F.lit(40)).alias("k"))
     s = rows.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v"), F.min("k").alias("a"), F.max("k").alias("b")).first()
