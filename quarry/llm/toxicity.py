@@ -229,8 +229,11 @@ def learn(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None =
     n0: Counter[str] = Counter()
     for words in clean:
         n0.update(t for t in candidates(words) if t in n1)
-    # Terms that chance would hardly give to so many toxic texts, not even to one of all candidates.
-    good = {t: n for t, n in n1.items() if log_tail(n, n + n0[t], share) + log(len(n1)) < log(CHANCE)}
+    n_clean, n_toxic = totals or (len(clean), len(toxic))
+    # A clean text of the sample counts as many as it stands for, by toxic ones.
+    ratio = (n_clean / max(1, len(clean))) / max(1e-9, n_toxic / max(1, len(toxic)))
+    # Terms that chance would hardly give to so many toxic texts, not even to one of all candidates, and whose texts are mostly toxic.
+    good = {t: n for t, n in n1.items() if n >= n0[t] * ratio * len(first) / len(toxic) and log_tail(n, n + n0[t], share) + log(len(n1)) < log(CHANCE)}
     # A beginning must tell much more than the best of its words, else the words stand for it; of nested ones the shortest stays.
     best: Counter[str] = Counter()
     for t in good:
@@ -243,9 +246,6 @@ def learn(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None =
             starts.append(t[:-1])
     words_ = [t for t in good if not t.endswith("*") and not t.startswith(tuple(starts))]
     terms = sorted([*(t + "*" for t in starts), *words_], key=lambda t: (-good[t], t))[:MOST_TERMS]
-    n_clean, n_toxic = totals or (len(clean), len(toxic))
-    # A clean text of the sample counts as many as it stands for, by toxic ones.
-    ratio = (n_clean / max(1, len(clean))) / max(1e-9, n_toxic / max(1, len(toxic)))
     model = Model(sorted(terms))
     model.ready()
     seen = {(label, kind): Counter() for label in (0, 1) for kind in (False, True)}
