@@ -42,6 +42,7 @@ WINDOW = 6
 QUOTED = 0.35
 THRESHOLD = 0.5
 PREFIX = (4, 8)
+KEPT = 0.97
 MOST_TERMS = 5000
 
 QUOTES = "\"“”„«»‹›"
@@ -234,16 +235,19 @@ def learn(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None =
     ratio = (n_clean / max(1, len(clean))) / max(1e-9, n_toxic / max(1, len(toxic)))
     # Terms that chance would hardly give to so many toxic texts, not even to one of all candidates, and whose texts are mostly toxic.
     good = {t: n for t, n in n1.items() if n >= n0[t] * ratio * len(first) / len(toxic) and log_tail(n, n + n0[t], share) + log(len(n1)) < log(CHANCE)}
-    # A beginning must tell much more than the best of its words, else the words stand for it; of nested ones the shortest stays.
+    # A beginning must tell much more than the best of its words, else the words stand for it.  Of nested ones that
+    # have about the same toxic texts the longest stays, so that no clean word is caught by letters it needn't share.
     best: Counter[str] = Counter()
     for t in good:
         if not t.endswith("*"):
             for n in range(PREFIX[0], min(PREFIX[1], len(t)) + 1):
                 best[t[:n] + "*"] = max(best[t[:n] + "*"], good[t])
-    starts: list[str] = []
+    starts, shortest = [], []
     for t in sorted((t for t in good if t.endswith("*")), key=lambda t: (len(t), t)):
-        if good[t] >= 1.5 * best[t] and n0[t] <= 0.02 * good[t] and not t.startswith(tuple(starts)):
-            starts.append(t[:-1])
+        if good[t] >= 1.5 * best[t] and n0[t] <= 0.02 * good[t] and not t.startswith(tuple(shortest)):
+            longer = [u for u in good if u.endswith("*") and u.startswith(t[:-1]) and good[u] >= KEPT * good[t]]
+            shortest.append(t[:-1])
+            starts.append(max(longer, key=len)[:-1])
     words_ = [t for t in good if not t.endswith("*") and not t.startswith(tuple(starts))]
     terms = sorted([*(t + "*" for t in starts), *words_], key=lambda t: (-good[t], t))[:MOST_TERMS]
     model = Model(sorted(terms))

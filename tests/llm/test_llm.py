@@ -154,6 +154,21 @@ def test_toxicity_and_quality(spark):
     assert {r["score"] for r in quality.scored(docs, quality.fit(docs, none)).collect()} == {0.0}
 
 
+def test_toxic_terms_are_mostly_toxic_and_specific():
+    rng = random.Random(11)
+    sample = []
+    for i in range(400):
+        words = prose(rng, 60).split()
+        # "con" is in most toxic texts, but clean ones are ten times as many as the sample shows.
+        words += ["con"] * (rng.random() < (0.9 if i % 2 else 0.3))
+        words += ["lostra" + rng.choice(["an", "ei", "un", "eu", "schaft", "ig", "ung"])] if i % 2 else []
+        sample.append((i % 2, words))
+    model = toxicity.learn(sample, (2000, 200))
+    assert model.terms == ["lostra*"]
+    assert model.score("con con con con con con lost lostaci") == 0.0
+    assert model.score("lostrabar") > 0.5
+
+
 def test_automaton_is_the_edit_distance():
     terms = ["stupid", "worthless", "scum", "lowei*"]
     auto, rng = toxicity.Automaton(terms), random.Random(8)
