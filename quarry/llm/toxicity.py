@@ -3,7 +3,8 @@
 The lexicon is learnt from labelled texts that are not held out: at most
 ``SAMPLE`` toxic and as many clean ones.  Words and word beginnings (marked *)
 are terms if chance would hardly give so many toxic and so few clean texts to
-any candidate (near copies of a text count once).
+any candidate (near copies of a text count once),
+and if most texts they stand for are toxic.
 
 A word is matched by running the trie's Levenshtein automaton: its states are
 sets of (trie node, edits), made when first reached and kept, so a word costs a
