@@ -264,6 +264,16 @@ def test_secrets(spark):
     assert masked[1] == "PASSWD:short [SECRET]' apikey=x [SECRET]" and masked[3] is None and masked[2] == ""
 
 
+def test_secrets_after_equals_signs(spark):
+    key = "aB3dE5fG7hJ9kL1mN3pQ5rS7uV9xY2zA4"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"https://host/a?x=1&sig={key}", f"A=b\nexport CLIENT_KEY={key}\nC=d", f"auth={key}==", f"{key}={key[::-1]}", f"auth: {key}", f'auth="{key}"', f"x=={key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert {s["kind"] for s in r["spans"]} == {"entropy_base64"} and any(key in s["s"] for s in r["spans"]), r["text"]
+    got = [r["text"] for r in secrets.redacted(df).orderBy("doc_id").collect()]
+    assert not any(key[:20] in t or key[::-1][:20] in t for t in got) and got[0] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and got[2] == "A=b\nexport CLIENT_KEY=[SECRET]\nC=d"
+
+
 def test_window_entropy(spark):
     rng, cls = random.Random(11), secrets.CLASSES[1]
     texts = ["".join(rng.choice(cls.alphabet[: rng.choice([4, 12, 62])]) for _ in range(rng.randrange(20, 60))) for _ in range(80)]
