@@ -10,7 +10,9 @@
    singular values, project word counts to latent vectors.
 2. Items, by length class, meet windows of their length at a quarter of its
    steps: a window's latent vector is a sum of its words' rows, and windows with
-   a cosine of ``COSINE`` or more to an item are candidates.  Windows are only
+   a cosine of ``COSINE`` or more to an item are candidates.  So are windows, at
+   any cosine, whose surroundings hold ``LCS`` of the item's words in whatever
+   order: words repeated beside an item drown its vector.  Windows are only
    looked at near ``HITS`` of an item's rarest words: as many of these as an
    acceptable subsequence can miss, and ``HITS`` more, are indexed, so this leaves
    out nothing that step 3 could accept.
@@ -197,6 +199,19 @@ def common_subsequence(item: Item, text: list[int]) -> tuple[int, int]:
     return hits.bit_count(), (hits >> (item.n - max(1, item.n // 4))).bit_count()
 
 
+def covered(item: Item, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the item's words each stretch of ``text`` holds, each as often as in both: no common subsequence is longer."""
+    order = np.argsort(text, kind="stable")
+    ranked = text[order]
+    out = np.zeros(len(start), np.int64)
+    for x, places in item.masks.items():
+        a, b = np.searchsorted(ranked, np.uint64(x)), np.searchsorted(ranked, np.uint64(x), "right")
+        if a < b:
+            at = order[a:b]
+            out += np.minimum(np.searchsorted(at, end) - np.searchsorted(at, start), places.bit_count())
+    return out
+
+
 def regions(h: np.ndarray, bench: Benchmark) -> list[tuple[int, int, int]]:
     """(item, from, to): where a text holds HITS of an item's indexed words within two windows, joined if they overlap."""
     at = np.flatnonzero(bench.maybe[(h >> np.uint64(48)).astype(np.int64)])
@@ -240,8 +255,11 @@ def matches(h: np.ndarray, bench: Benchmark) -> dict[int, float]:
         sums = np.concatenate((np.zeros((1, bench.space.rows.shape[1]), np.float32), np.cumsum(bench.space.rows[bucket(h[x:y])], axis=0, dtype=np.float64)))
         end = np.minimum(start + w, y)
         cos = unit_rows(sums[end - x] - sums[start - x]) @ item.vector
-        for p in np.flatnonzero(cos >= COSINE):
-            got, answer = common_subsequence(item, h[max(0, start[p] - w // 2) : end[p] + w // 2].tolist())
+        # What a candidate is compared with: its window and half a window on either side.
+        low, high = np.maximum(start - w // 2, 0), np.minimum(end + w // 2, len(h))
+        enough = covered(item, h[low[0] : high[-1]], low - low[0], high - low[0]) >= LCS * item.n - 1e-9
+        for p in np.flatnonzero((cos >= COSINE) | enough):
+            got, answer = common_subsequence(item, h[low[p] : high[p]].tolist())
             share = got / item.n
             if share >= SURE or (share >= LCS and answer >= ANSWER * max(1, item.n // 4)):
                 out[k] = max(out.get(k, 0.0), share)

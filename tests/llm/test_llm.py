@@ -229,6 +229,35 @@ def test_decontamination(spark):
     assert decontaminate.flagged(df.limit(0), bench).count() == 0
 
 
+def test_leaks_among_repeated_words():
+    rng = random.Random(12)
+    of = lambda text: words.hashes(text.encode())
+    # Item 0 sets a length class whose windows take in neighbouring words; the repeated word's vector is long.
+    items = [prose(rng, n) for n in (15, 16, 18, 20)]
+    rows = np.random.default_rng(12).normal(size=(decontaminate.TERMS, 16))
+    rows[decontaminate.bucket(of("junk"))] *= 30
+    bench = decontaminate.prepare_items(list(enumerate(items)), decontaminate.Space(rows.astype(np.float32), np.zeros(decontaminate.TERMS)))
+    for i in range(40):
+        assert decontaminate.matches(of(" ".join(["junk"] * (i + 10) + [items[i % 4]] + ["junk"] * (50 - i))), bench) == {i % 4: 1.0}
+    mixed = items[0].split()
+    rng.shuffle(mixed)
+    assert not decontaminate.matches(of(" ".join(["junk"] * 30 + mixed + ["junk"] * 30)), bench)
+
+
+def test_covered_words():
+    rng = random.Random(13)
+    for _ in range(50):
+        a, b = np.array([rng.randrange(6) for _ in range(12)], np.uint64), np.array([rng.randrange(8) for _ in range(40)], np.uint64)
+        masks = defaultdict(int)
+        for i, x in enumerate(a.tolist()):
+            masks[x] |= 1 << i
+        item, start = decontaminate.Item([0], a, None, masks), np.arange(0, 30, 5)
+        got = decontaminate.covered(item, b, start, start + 10)
+        for s, n in zip(start.tolist(), got.tolist(), strict=True):
+            part = b[s : s + 10].tolist()
+            assert n == sum(min(a.tolist().count(x), part.count(x)) for x in range(8)) >= decontaminate.common_subsequence(item, part)[0]
+
+
 def test_common_subsequence():
     rng = random.Random(10)
     for _ in range(200):
