@@ -54,17 +54,30 @@ class EntropyClass:
     bits: float
 
 
+#: Pairs of letters that words seldom hold, words joined to one another included.
+ODD = r"(?i:[jqvz][bcdfghjklmnpqrstvwxz]|[bcdfghklmnprstvwxz][jqx]|q[^u]|b[gkpwz]|c[bdfgmnpvw]|d[kx]|f[bcdghkmnpvwz]|g[cdfkpvz]|h[bcdfgkpvz]|k[cdgpvz]|lx|m[gkrvwz]|p[dgkvwz]|w[cgjpqvxz]|x[bdfgjknrsvwz]|aa|ii|uu|yy|uo|iy|yu)"
+
 CLASSES = (
     EntropyClass("entropy_hex", r"(?<![A-Za-z0-9])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}(?![A-Za-z0-9])", "0123456789ABCDEF", 24, 3.0),
-    EntropyClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 20, 3.8),
+    EntropyClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 20, 3.55),
+    EntropyClass("entropy_lower", r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{20,}(?![A-Za-z0-9])", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.25),
+    # Upper-case hex has its own class.
+    EntropyClass("entropy_upper", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[A-Z0-9]{20,}(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.25),
+    # Words joined have as much entropy as random letters, so a candidate must hold three odd pairs.
+    EntropyClass("entropy_letters", rf"(?<![A-Za-z0-9])(?=(?>[A-Za-z]*?{ODD}){{3}})[A-Za-z]{{20,}}(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20, 3.1),
 )
 
+#: A path's segment: words with or without capitals, lone letters and numbers, or at most four characters.
+_SEGMENT = r"(?:(?:(?:[A-Z][a-z]++|[a-z]{2,}+|[A-Z]{2,}+|[A-Za-z](?![A-Za-z])|[0-9]{1,8}+(?![A-Za-z]))[_-]?)++(?![A-Za-z0-9_-])|[A-Za-z0-9_-]{1,4}+(?![A-Za-z0-9_-]))"
+
 ALLOW = (
     r"(?i)^(sha(1|224|256|384|512)|md5)-",
     r"(?i)example|placeholder|your[_-]?(key|token)|changeme",
     r"^(.)\1+$",
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^/|^[A-Za-z]+(/[A-Za-z0-9_-]+)+$",
+    rf"^(?=.{{1,500}}$)(?=.*/)/{{0,2}}{_SEGMENT}(?:/{_SEGMENT})*/?$",
+    # A name: words, then a number.
+    r"^(?=.{1,100}$)(?:(?:[A-Z][a-z]++|[a-z]{3,}+|[A-Z]{3,}+)[_-]?)++[0-9]{1,8}$",
 )
 
 

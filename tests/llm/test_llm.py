@@ -303,6 +303,23 @@ def test_secrets_after_equals_signs(spark):
     assert not any(key[:20] in t or key[::-1][:20] in t for t in got) and got[0] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and got[2] == "A=b\nexport CLIENT_KEY=[SECRET]\nC=d"
 
 
+def test_secrets_of_other_alphabets(spark):
+    rng = random.Random(14)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    base62 = upper + lower + "0123456789"
+    kinds = {"lower": (lower + "0123456789", 32), "base32": (upper + "234567", 32), "letters": (upper + lower, 32), "base62": (base62, 20), "base64": (base62 + "+/", 40)}
+    keys = [(k, "".join(rng.choice(a) for _ in range(n))) for k, (a, n) in kinds.items() for _ in range(40)]
+    keys += [("base64", "/" + keys[-1][1]), ("base64", "services/T00000000/B00000000/aB3dE5fG7hJ9kL1mN3pQ5rS7")]
+    plain = ["/usr/local/lib/python3/dist-packages/NumPy", "src/main/java/com/acme/FooBarService2", "com/questions/12345/how-to-parse-X-in-Java", "/2024/01/15/Some-Title-Of-Post", "internationalization2024", "getElementsByTagName22", "Rechtsschutzversicherungsgesellschaften", "getElementsByTagNameAndClassName", "words/" * 5000 + "A1", "A" * 5000 + "1", "word-" * 5000 + "A1"]
+    df = spark.createDataFrame([(i, f"it is: {x}.") for i, x in enumerate([k for _, k in keys] + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    found = defaultdict(int)
+    for i, (k, _) in enumerate(keys):
+        found[k] += bool(got[i])
+    assert all(found[k] >= 39 for k in kinds) and got[len(keys) - 1] and got[len(keys) - 2], found
+    assert not [x[:50] for i, x in enumerate(plain, len(keys)) if got[i]]
+
+
 def test_window_entropy(spark):
     rng, cls = random.Random(11), secrets.CLASSES[1]
     texts = ["".join(rng.choice(cls.alphabet[: rng.choice([4, 12, 62])]) for _ in range(rng.randrange(20, 60))) for _ in range(80)]
