@@ -10,12 +10,14 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE}]+"
+#: Rows of an edge table per file.
+EDGES = 20_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -37,11 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is read from the session and only set, to a folder that goes with the
-    process, where the session has none: in tests on one machine.
+    It is read from the session.  Only a session on one machine (tests) may go
+    without; it gets a folder that goes with the process.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         got = f"file://{own}"
@@ -53,21 +58,29 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, what: str, rows: int | None = None, per_file: int = 4096) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``: a known bound of its rows; then it is written in no more files than
+    ``per_file`` rows each would make, so that small tables aren't a file a partition.
+    The result's ``known_rows`` is what was written, counted on the way.
+    """
     spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = new_path(spark, what), Observation()
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.known_rows, out.known_path = seen.get["n"], path
+    return out
 
 
-def forget(df: DataFrame) -> None:
+def forget(*tables: DataFrame) -> None:
     """Delete what ``written`` made; nothing lazy may read it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.known_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -93,33 +106,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component is the least node.
 
     Alternates large-star and small-star steps over the edge table until it no
-    longer changes; at most O(log^2 n) rounds.  A hub's edges are never gathered:
+    longer changes, which takes O(log^2 n) rounds; each leaves no more edges than the one
+    before, with lesser ends.  A hub's edges are never gathered:
     the least neighbour is a combined minimum, and it returns by a join that
     adaptive execution splits.  Every round is a written table, so a lost executor
     costs at most one round.  Null ends and loops count as no edge.
     """
     e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a is not null and b is not null and a <> b").distinct()
-    e, last = written(e, "edges"), None
-    for _ in range(rounds):
-        size = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if not size["n"] or size == last:
+    e, last = written(e, "edges", getattr(edges, "known_rows", None), EDGES), None
+    while e.known_rows:
+        now = e.agg(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()[0], e.known_rows
+        if now == last:
             break
-        last = size
+        last = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = written(root.select("hi", F.col("m").alias("lo")).unionAll(small).distinct(), "edges")
+        new = written(root.select("hi", F.col("m").alias("lo")).unionAll(small).distinct(), "edges", e.known_rows, EDGES)
         forget(e)
         e = new
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    out = e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    out.known_path = e.known_path
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:

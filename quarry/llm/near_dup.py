@@ -4,51 +4,54 @@
    space) as 64-bit hashes.  Documents with equal sets form a class and count as
    one from here on, so copies never meet each other.
 2. Each class has ``BANDS * ROWS`` MinHash values of 16 bits.  Classes with an
-   equal band are candidates.
+   equal band are candidates.  Texts are read once more for classes that have
+   candidates; their sets are written, and only sets travel from then on.
 3. Round one compares each bucket's members with its least member only: as many
    pairs as members.  Confirmed links give connected components.
-4. Round two compares what a bucket still holds of different components: by
-   pairs in buckets up to ``SMALL`` members, and in larger ones by pairs of
-   blocks of about ``BLOCK`` members, each within one call that returns only the
-   links that join components.  So every candidate pair is either compared or
-   already in one component, and no group emits all its pairs.
+4. Round two compares what a bucket still holds of different components, in pairs
+   of blocks.  A block holds about ``BLOCK`` members and ``BLOCK_BYTES`` of sets.
+   Signatures alone go to all pairs of blocks, and a pair counts in its first
+   common band only; sets go only where a signature leaves a pair open.  A pair of blocks
+   confirms its likeliest pairs first and skips those that its links so far
+   join.  So every candidate pair is either compared or already in one component,
+   and no group emits all its pairs.
 5. A comparison reads the signatures in batches.  With m of n values equal, the
    posterior of the similarity is Beta(m + 1, n - m + 1); the pair is dropped once
    the chance that it reaches the threshold is under ``MISS``.  Survivors are
-   confirmed on their full sets, recomputed from the whole texts: texts
-   travel to the pairs, salted where one class has many partners.
+   confirmed on their full sets.  A class with many partners goes, salted, to
+   groups of about ``PARTNERS``, and partners stream past it one at a time.
 
 At similarity 0.8 a pair shares no band with a chance of (1 - 0.8 ** 6) ** 32 =
-6e-5; batches drop it with one of about 1e-6.
+6e-5; each of the six batches drops it with a chance of about 1e-6.
 
 Defined results: null text, empty text and text without words have empty sets,
 are linked with nothing and are their own component.  Rows with a null doc_id
 take no part: their component_id is null and they are kept.  Repeated rows
-share their class.  Only doc_id and the text are read, so other columns don't
-matter; an empty table gives no rows.
+share their class.  Very long texts are sets like others; two are in
+memory at a time, or what a pair of blocks holds.  Only doc_id and the text are read,
+so other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import connected_components, table, written
+from .common import connected_components, forget, table, written
 
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-6
-SMALL = 8
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 #: Partners of one class per verification group.
 PARTNERS = 256
 SHINGLE = 4
@@ -110,130 +113,204 @@ def plausible(a: np.ndarray, b: np.ndarray, near: tuple[int, int] = NEAR) -> np.
     return out
 
 
-def _sig(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+def _sig(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _long(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def near_sets(a: np.ndarray, b: np.ndarray, near: tuple[int, int]) -> bool:
+    if near[1] * min(len(a), len(b)) < near[0] * max(len(a), len(b)):
+        return False
+    both = words.overlap(a, b)
+    return near[1] * both >= near[0] * (len(a) + len(b) - both)
 
 
 def fold(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sig) per row; node and sig are null for empty sets."""
+    """(doc_id, h, n_shingles, fp, sig) per row: h is the text's own hash; fp and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                n, node, sig = [], [], []
+                n, fp, sig = [], [], []
                 for t in part.column("text").cast(pa.binary()):
                     s = words.shingles(t.as_py(), k)
                     n.append(len(s))
-                    node.append(fingerprint(s) if len(s) else None)
+                    fp.append(fingerprint(s) if len(s) else None)
                     sig.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "h", "n_shingles", "fp", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, n_shingles long, fp binary, sig binary")
 
 
-def compared(pairs: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """The (a, b) of ``pairs`` that their signatures don't rule out."""
-    sigs = classes.select("node", "sig")
-    full = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
+def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(node, x): the sets of ``members`` (node, rep, fp), from the texts of their least documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = plausible(_sig(b.column("sig_a").to_pylist()), _sig(b.column("sig_b").to_pylist()), near) if b.num_rows else np.empty(0, bool)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            node, x, held = [], [], 0
+            for n, fp, t in zip(b.column("node"), b.column("fp"), b.column("text").cast(pa.binary()), strict=True):
+                s = words.shingles(t.as_py(), k)
+                if fingerprint(s) == fp.as_py():  # else another row that has the same doc_id
+                    node.append(n.as_py())
+                    x.append(s.tobytes())
+                    held += len(x[-1])
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(x, pa.binary())], ["node", "x"])
+                    node, x, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(x, pa.binary())], ["node", "x"])
 
-    return full.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return members.join(texts, "rep").select("node", "fp", "text").mapInArrow(run, "node long, x binary")
+
+
+GROUP = ("a", "parts", "salt")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, near: tuple[int, int]) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are near, from their texts.
+def streamed(pairs: DataFrame, payload: DataFrame, run: Callable) -> DataFrame:
+    """``run`` over batches in which each group's lead (turn 0) comes before its partners (turn 1), with their payloads.
 
-    Each class's text goes once to every group of ``PARTNERS`` partners, then
-    the partners' texts stream past it.
+    ``pairs`` (a, parts, salt, node): the lead travels once to each of its groups, the
+    partners to theirs, so no class's pairs come together in one task.
     """
-    pairs = written(pairs.distinct(), "pairs")
-    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS)).alias("salt"))
-    salted = written(salted, "pairs")
-    ids = classes.select("node", "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    lead = salted.select("a", "salt").distinct()
-    wanted = lead.select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("turn")).unionAll(salted.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("turn")))
-    rows = wanted.join(ids, "node").join(texts, "rep").select("a", "salt", "turn", "node", "text")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn", "node")
+    lead = pairs.select(*GROUP).distinct().select(*GROUP, F.col("a").alias("node"), F.lit(0).alias("turn"))
+    rows = lead.unionAll(pairs.select(*GROUP, "node", F.lit(1).alias("turn"))).join(payload, "node").select(*GROUP, "turn", "node", "x")
+    rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "turn", "node")
+    return rows.mapInArrow(run, "a long, parts long, salt long, node long")
+
+
+def compared(pairs: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` that their signatures don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None  # the signature of a group's lead, where the group goes on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig, turn, at = _sig(b.column("x")), _long(b.column("turn")), np.arange(b.num_rows)
+            lead = np.maximum.accumulate(np.where(turn == 0, at, -1))
+            if held is not None:  # as row 0, behind which the batch moves
+                sig, lead, at = np.concatenate((held[None], sig)), lead + 1, at + 1
+            rows = at[turn == 1]
+            of = lead[turn == 1]
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(0, len(rows), 4096):
+                keep[at[0] * -1 + rows[i : i + 4096]] = plausible(sig[of[i : i + 4096]], sig[rows[i : i + 4096]], near)
+            held = sig[lead[-1]].copy()
+            yield b.select([*GROUP, "node"]).filter(pa.array(keep))
+
+    return streamed(pairs, classes.select("node", F.col("sig").alias("x")), run)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead_node, lead_set = None, None
+        lead = np.empty(0, np.uint64)
         for b in batches:
-            cols = [b.column(c) for c in ("a", "turn", "node")]
-            text = b.column("text").cast(pa.binary())
-            hit_a, hit_b = [], []
-            for i in range(b.num_rows):
-                a, turn, node = (c[i].as_py() for c in cols)
-                s = words.shingles(text[i].as_py(), k)
-                if fingerprint(s) != node:  # another row that has the same doc_id
-                    continue
+            keep = []
+            for turn, x in zip(b.column("turn").to_pylist(), b.column("x"), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
                 if turn == 0:
-                    lead_node, lead_set = a, s
-                elif lead_node == a:
-                    both = words.overlap(lead_set, s)
-                    if near[1] * both >= near[0] * (len(lead_set) + len(s) - both):
-                        hit_a.append(a)
-                        hit_b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(hit_a, pa.binary()), pa.array(hit_b, pa.binary())], ["a", "b"])
+                    lead = s.copy()
+                keep.append(turn == 1 and near_sets(lead, s, near))
+            yield b.select([*GROUP, "node"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return streamed(pairs, sets, run).select("a", F.col("node").alias("b"))
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, node) for every band of every class."""
-    size = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * size + 1, size)) for i in range(BANDS)))
-    return classes.select("node", F.explode(keys).alias("bucket"))
+    """(bucket, band, node, size) for every band of every class."""
+    width = 2 * ROWS
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)))
+    return classes.select(F.posexplode(keys).alias("band", "bucket"), "node", F.col("n_shingles").alias("size")).select("bucket", "band", "node", "size")
 
 
-def pairs_across(buckets: DataFrame) -> DataFrame:
-    """Pairs of different components in buckets of at most ``SMALL`` members."""
-    little = buckets.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "comp"))).alias("m"))
-    little = little.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    return little.where("x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+BLOCKS = ("bucket", "i", "j")
 
 
-def links_across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, k: int, near: tuple[int, int]) -> DataFrame:
-    """Confirmed links between components in larger buckets: enough to join what belongs together, so fewer than members.
+def in_blocks(left: DataFrame) -> DataFrame:
+    """(bucket, i, j, own, band, node, comp): each member of ``left`` with every block of its bucket, its own included."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sizes") * 8 / BLOCK_BYTES)).cast("int")
+    rows = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int"))
+    rows = rows.select("bucket", "band", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp")
 
-    Each pair of blocks is one group of bounded size, with its texts.  Plausible
-    pairs are confirmed on full sets, the likeliest first, unless the group's links
-    so far have joined their components.
+
+def by_group(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(group)`` for each (bucket, i, j) of ``rows``: a table that comes whole; groups are of bounded size."""
+    names = [c for c in rows.columns if c not in BLOCKS]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.column_stack([_long(b.column(c)).astype(np.int64) for c in BLOCKS])
+            if last is not None and (key[0] != last).any():
+                yield from run(pa.Table.from_batches(open_))
+                open_ = []
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            part = b.select(["bucket", "i", "j", *names])
+            for x, y in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+                yield from run(pa.Table.from_batches([*open_, part.slice(x, y - x)]))
+                open_ = []
+            open_.append(part.slice(int(cuts[-1]) if len(cuts) else 0))
+            last = key[-1]
+        if open_:
+            yield from run(pa.Table.from_batches(open_))
+
+    rows = rows.select(*BLOCKS, *names).repartition(*BLOCKS).sortWithinPartitions(*BLOCKS, "node")
+    return rows.mapInArrow(groups, schema)
+
+
+def open_pairs(left: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """(bucket, i, j, node, comp, partners, equal): members with pairs of other components that signatures leave open.
+
+    A pair stands at the one of its members that comes first, and in its first common band only.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = buckets.where(F.col("n") > SMALL).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")})
-    large = large.select("bucket", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    large = large.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    large = large.join(classes, "node").join(texts, "rep").select("bucket", "i", "j", "own", "node", "comp", "sig", "text")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        node, text = rows["node"].to_numpy(object), rows["text"].to_numpy(object)
-        sig, comp, own = _sig(rows["sig"]), pd.factorize(rows["comp"])[0], rows["own"].to_numpy()
-        first, second = np.flatnonzero(own == rows["i"].iloc[0]), np.flatnonzero(own == rows["j"].iloc[0])
-        same, found = rows["i"].iloc[0] == rows["j"].iloc[0], []
-        for x in first:
-            ys = second[comp[second] != comp[x]]
-            ys = ys[ys > x] if same else ys
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, own, band = (_long(group.column(c)) for c in ("node", "own", "band"))
+        comp = _long(group.column("comp"))
+        if (comp == comp[0]).all():
+            return
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sig = _sig(group.column("sig").combine_chunks())
+        bands = sig.reshape(len(sig), BANDS, ROWS)
+        second = np.flatnonzero(own == j)
+        pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for x in np.flatnonzero(own == i).tolist():
+            ys = second[(comp[second] != comp[x]) & (band[second] == band[x])]
+            ys = ys[ys > x] if i == j else ys
             ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], near)] if len(ys) else ys
+            ys = ys[(bands[ys] == bands[x]).all(2).argmax(1) == band[x]] if len(ys) else ys
             if len(ys):
-                found.append(np.column_stack([np.full(len(ys), x), ys, -(sig[ys] == sig[x]).sum(1)]))
-        sets: dict[int, np.ndarray | None] = {}
+                pairs[x] = ys, (sig[ys] == sig[x]).sum(1)
+        if not pairs:
+            return
+        part = np.array(sorted({*pairs, *np.concatenate([y for y, _ in pairs.values()]).tolist()}))
+        none = np.empty(0, np.int64)
+        out = group.select(["bucket", "i", "j", "node", "comp"]).take(pa.array(part)).combine_chunks()
+        lists = [pa.array([node[pairs[x][0]] if x in pairs else none for x in part.tolist()], pa.list_(pa.int64())), pa.array([pairs[x][1] if x in pairs else none for x in part.tolist()], pa.list_(pa.int64()))]
+        yield from out.append_column("partners", lists[0]).append_column("equal", lists[1]).to_batches()
+
+    rows = in_blocks(left).join(classes.select("node", "sig"), "node")
+    return by_group(rows, run, "bucket long, i int, j int, node long, comp long, partners array<long>, equal array<long>")
+
 
-        def full(i: int) -> np.ndarray | None:
-            """The set of row i; None where the row is another that has the same doc_id."""
-            if i not in sets:
-                s = words.shingles(text[i].encode() if text[i] is not None else None, k)
-                sets[i] = s if fingerprint(s) == bytes(node[i]) else None
-            return sets[i]
+def links_across(open_: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """(a, b): confirmed links among the open pairs, enough to join what belongs together, so fewer than members."""
 
-        root = list(range(len(set(comp.tolist()))))
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        comp = dict(zip(group.column("node").to_pylist(), group.column("comp").to_pylist(), strict=True))
+        full = {n: np.frombuffer(x.as_buffer(), np.uint64) for n, x in zip(group.column("node").to_pylist(), group.column("x"), strict=True)}
+        pairs = [(-e, x, y) for x, ys, es in zip(*(group.column(c).to_pylist() for c in ("node", "partners", "equal")), strict=True) for y, e in zip(ys, es, strict=True)]
+        root = {c: c for c in comp.values()}
 
         def top(c: int) -> int:
             while root[c] != c:
@@ -241,48 +318,59 @@ def links_across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, k: int
             return c
 
         out = []
-        pairs = np.concatenate(found) if found else np.empty((0, 3), int)
-        for x, y, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+        for _, x, y in sorted(set(pairs)):
             a, b = top(comp[x]), top(comp[y])
-            if a == b:
-                continue
-            s, t = full(x), full(y)
-            if s is None or t is None:
-                continue
-            both = words.overlap(s, t)
-            if near[1] * both >= near[0] * (len(s) + len(t) - both):
+            if a != b and near_sets(full[x], full[y], near):
                 root[a] = b
-                out.append((node[x], node[y]))
-        return pd.DataFrame(out, columns=["a", "b"])
+                out.append((x, y))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return large.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
+    return by_group(open_.join(sets, "node"), run, "a long, b long")
 
 
-def components(docs: DataFrame, k: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    rows = written(fold(docs, k), "sets")
-    known = rows.where("node is not null and doc_id is not null")
-    classes = written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
+def with_components(docs: DataFrame, k: int, near: tuple[int, int]) -> DataFrame:
+    """(doc_id, h, n_shingles, fp, component_id) for every row of ``docs``; a written table."""
+    rows = written(fold(docs, k), "rows", docs.count(), 2048)
+    known = rows.where("fp is not null and doc_id is not null")
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
+    # A class's number is unique once it is written, and cheaper to group and join by than its fingerprint.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", rows.known_rows)
     bands = banded(classes)
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    buckets = written(bands.join(sizes, "bucket"), "buckets")
-    stars = buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(confirmed(compared(stars, classes, near), classes, docs, k, near), "links")
-    comps = connected_components(links)
+    counts = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    buckets = written(bands.join(counts, "bucket"), "buckets", BANDS * classes.known_rows, 1 << 16)
+    members = buckets.select("node").distinct().join(classes.select("node", "rep", "fp"), "node")
+    sets = written(sets_of(docs, members, k), "sets", classes.known_rows, 2048)
+    stars = buckets.where("node <> least").groupBy(F.col("least").alias("a"), "node").agg(F.max(F.ceil(F.col("n") / PARTNERS)).alias("parts"))
+    stars = stars.select("a", "parts", F.pmod(F.xxhash64("node"), "parts").alias("salt"), "node")
+    near_by = written(compared(stars, classes, near), "pairs", buckets.known_rows, 8192)
+    links = written(confirmed(near_by, sets, near), "links", near_by.known_rows)
+    comps, done = connected_components(links), [near_by]
     # The least member has met all others; what is left of a bucket matters if it holds several components.
-    left = buckets.where("node <> least").join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "n")
-    left = written(left.join(mixed, "bucket"), "left")
-    if not left.isEmpty():
-        pairs = compared(pairs_across(left), classes, near)
-        more = written(confirmed(pairs, classes, docs, k, near).unionAll(links_across(left, classes, docs, k, near)), "links")
-        comps = connected_components(links.unionAll(more))
+    left = buckets.where("node <> least").drop("n", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    mixed = left.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "n", "sizes")
+    open_ = written(open_pairs(left.join(mixed, "bucket"), classes, near), "open", buckets.known_rows, 8192)
+    done.append(open_)
+    if open_.known_rows:
+        more = written(links_across(open_, sets, near), "links", open_.known_rows)
+        both = links.unionAll(more)
+        both.known_rows = links.known_rows + more.known_rows
+        done += [comps, more]
+        comps = connected_components(both)
     named = comps.join(classes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
-    full = classes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(full, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    full = classes.select("node", "fp", "rep").join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.drop("sig").withColumn("fp", F.when(F.col("doc_id").isNotNull(), F.col("fp"))).join(full, "fp", "left")
+    out = out.select("doc_id", "h", "n_shingles", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = written(out, "components", rows.known_rows, 1 << 14)
+    forget(rows, classes, buckets, sets, links, comps, *done)
+    return out
+
+
+def components(docs: DataFrame, k: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    return with_components(docs, k, near).select("doc_id", "n_shingles", "component_id")
 
 
 def kept(doc: Column, component: Column) -> Column:
@@ -290,9 +378,19 @@ def kept(doc: Column, component: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, k: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: that with the least doc_id."""
-    gone = components(docs.select("doc_id", "text"), k, near).where(~kept(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` with one document of each component: that with the least doc_id.
+
+    Where several rows have that id, one of those with the least text hash stays.
+    """
+    rows = with_components(docs.select("doc_id", "text"), k, near).where("fp is not null")
+    texts = rows.groupBy("component_id", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = texts.where("doc_id = component_id").groupBy(F.col("component_id").alias("c")).agg(F.min("h").alias("first"))
+    texts = texts.join(first, F.col("component_id") == F.col("c")).withColumn("stays", (F.col("doc_id") == F.col("c")) & (F.col("h") == F.col("first")))
+    # Rows to leave out, and those that stay but are there more than once.
+    gone = written(texts.where("not stays or n > 1").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h"), "stays"), "gone", rows.count(), 1 << 14)
+    key = lambda g: [docs["doc_id"].cast("long") == g["_gone"], F.xxhash64(docs["text"]) == g["_h"]]
+    out, twice = docs.join(gone, key(gone), "left_anti"), gone.where("stays")
+    return out if twice.isEmpty() else out.unionAll(docs.join(twice, key(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

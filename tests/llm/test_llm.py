@@ -402,10 +402,10 @@ def brute_components(rows, k, near):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [1, 8])
-def test_near_duplicates(spark, small, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", small)
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+@pytest.mark.parametrize("block", [4, 16])
+def test_near_duplicates(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "PARTNERS", block)
     rng, rows = random.Random(13), []
     for _ in range(12):
         base = prose(rng, 150).split()
