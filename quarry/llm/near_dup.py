@@ -8,10 +8,12 @@
    candidates; their sets are written, and only sets travel from then on.
 3. Round one compares each bucket's members with its least member only: as many
    pairs as members.  Confirmed links give connected components.
-4. Round two compares what a bucket still holds of different components, in pairs
-   of blocks.  A block holds about ``BLOCK`` members and ``BLOCK_BYTES`` of sets.
-   Signatures alone go to all pairs of blocks, and a pair counts in its first
-   common band only; sets go only where a signature leaves a pair open.  A pair of blocks
+4. Round two compares what a bucket still holds of different components.  All
+   members outside its largest component, in blocks of about ``BLOCK``, meet all
+   its members, in parts of about ``PART``: so as many rows as members where few
+   are outside.  Blocks and parts are bounded by the bytes of their sets too.
+   Signatures alone go to all of these groups, and a pair counts in its first
+   common band only; sets go only where a signature leaves a pair open.  A group
    confirms its likeliest pairs first and skips those that its links so far
    join.  So every candidate pair is either compared or already in one component,
    and no group emits all its pairs.
@@ -28,7 +30,7 @@ Defined results: null text, empty text and text without words have empty sets,
 are linked with nothing and are their own component.  Rows with a null doc_id
 take no part: their component_id is null and they are kept.  Repeated rows
 share their class.  Very long texts are sets like others; two are in
-memory at a time, or what a pair of blocks holds.  Only doc_id and the text are read,
+memory at a time, or what a group holds.  Only doc_id and the text are read,
 so other columns don't matter; an empty table gives no rows.
 """
 
@@ -50,8 +52,8 @@ from .common import connected_components, forget, table, written
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-6
-BLOCK = 256
-BLOCK_BYTES = 4 << 20
+BLOCK, PART = 256, 1024
+GROUP_BYTES = 8 << 20
 #: Partners of one class per verification group.
 PARTNERS = 256
 SHINGLE = 4
@@ -232,12 +234,25 @@ def banded(classes: DataFrame) -> DataFrame:
 BLOCKS = ("bucket", "i", "j")
 
 
-def in_blocks(left: DataFrame) -> DataFrame:
-    """(bucket, i, j, own, band, node, comp): each member of ``left`` with every block of its bucket, its own included."""
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sizes") * 8 / BLOCK_BYTES)).cast("int")
-    rows = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int"))
-    rows = rows.select("bucket", "band", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp")
+def outsiders(left: DataFrame) -> DataFrame:
+    """(bucket, top, blocks, parts) of the buckets in which ``left`` (bucket, node, comp, size) has several components."""
+    each = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    all_ = each.groupBy("bucket").agg(F.max(F.struct("n", "size", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > top.n")
+    count = lambda n, most, size: F.greatest(F.ceil(n / most), F.ceil(size * 8 / GROUP_BYTES)).cast("int")
+    return all_.select("bucket", F.col("top.comp").alias("top"), count(F.col("n") - F.col("top.n"), BLOCK, F.col("size") - F.col("top.size")).alias("blocks"), count(F.col("n"), PART, F.col("size")).alias("parts"))
+
+
+def in_blocks(left: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(bucket, i, j, held, band, node, comp): outsiders of block i go to every part j, and all members of part j to every block i."""
+    rows = left.join(mixed, "bucket")
+    of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block, part = of("blocks", 3), of("parts", 4)
+    held = F.when(F.col("comp") != F.col("top"), F.transform(upto("parts"), lambda j: F.struct(block.alias("i"), j.alias("j"), F.lit(True).alias("held"))))
+    past = F.transform(upto("blocks"), lambda i: F.struct(i.alias("i"), part.alias("j"), F.lit(False).alias("held")))
+    none = F.array().cast("array<struct<i:int,j:int,held:boolean>>")
+    rows = rows.select("bucket", "band", "node", "comp", (F.col("comp") != F.col("top")).alias("out"), F.explode(F.concat(F.coalesce(held, none), past)).alias("at"))
+    return rows.select("bucket", "at.i", "at.j", "at.held", "out", "band", "node", "comp")
 
 
 def by_group(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -268,25 +283,21 @@ def by_group(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.mapInArrow(groups, schema)
 
 
-def open_pairs(left: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
+def open_pairs(rows: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
     """(bucket, i, j, node, comp, partners, equal): members with pairs of other components that signatures leave open.
 
     A pair stands at the one of its members that comes first, and in its first common band only.
     """
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, own, band = (_long(group.column(c)) for c in ("node", "own", "band"))
-        comp = _long(group.column("comp"))
-        if (comp == comp[0]).all():
-            return
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        node, comp, band, held, out = (_long(group.column(c)) for c in ("node", "comp", "band", "held", "out"))
         sig = _sig(group.column("sig").combine_chunks())
         bands = sig.reshape(len(sig), BANDS, ROWS)
-        second = np.flatnonzero(own == j)
+        past = np.flatnonzero(~held)
         pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for x in np.flatnonzero(own == i).tolist():
-            ys = second[(comp[second] != comp[x]) & (band[second] == band[x])]
-            ys = ys[ys > x] if i == j else ys
+        for x in np.flatnonzero(held).tolist():
+            # Two outsiders meet twice: the lesser one being held counts.
+            ys = past[(comp[past] != comp[x]) & (band[past] == band[x]) & (~out[past] | (node[past] > node[x]))]
             ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], near)] if len(ys) else ys
             ys = ys[(bands[ys] == bands[x]).all(2).argmax(1) == band[x]] if len(ys) else ys
             if len(ys):
@@ -295,12 +306,11 @@ def open_pairs(left: DataFrame, classes: DataFrame, near: tuple[int, int]) -> Da
             return
         part = np.array(sorted({*pairs, *np.concatenate([y for y, _ in pairs.values()]).tolist()}))
         none = np.empty(0, np.int64)
-        out = group.select(["bucket", "i", "j", "node", "comp"]).take(pa.array(part)).combine_chunks()
+        found = group.select(["bucket", "i", "j", "node", "comp"]).take(pa.array(part)).combine_chunks()
         lists = [pa.array([node[pairs[x][0]] if x in pairs else none for x in part.tolist()], pa.list_(pa.int64())), pa.array([pairs[x][1] if x in pairs else none for x in part.tolist()], pa.list_(pa.int64()))]
-        yield from out.append_column("partners", lists[0]).append_column("equal", lists[1]).to_batches()
+        yield from found.append_column("partners", lists[0]).append_column("equal", lists[1]).to_batches()
 
-    rows = in_blocks(left).join(classes.select("node", "sig"), "node")
-    return by_group(rows, run, "bucket long, i int, j int, node long, comp long, partners array<long>, equal array<long>")
+    return by_group(rows.join(classes.select("node", "sig"), "node"), run, "bucket long, i int, j int, node long, comp long, partners array<long>, equal array<long>")
 
 
 def links_across(open_: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
@@ -348,8 +358,10 @@ def with_components(docs: DataFrame, k: int, near: tuple[int, int]) -> DataFrame
     comps, done = connected_components(links), [near_by]
     # The least member has met all others; what is left of a bucket matters if it holds several components.
     left = buckets.where("node <> least").drop("n", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = left.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "n", "sizes")
-    open_ = written(open_pairs(left.join(mixed, "bucket"), classes, near), "open", buckets.known_rows, 8192)
+    left = written(left.select("bucket", "band", "node", "comp", "size"), "left", buckets.known_rows, 1 << 16)
+    mixed = written(outsiders(left), "mixed", left.known_rows, 1 << 16)
+    done += [left, mixed]
+    open_ = written(open_pairs(in_blocks(left, mixed), classes, near), "open", left.known_rows, 8192)
     done.append(open_)
     if open_.known_rows:
         more = written(links_across(open_, sets, near), "links", open_.known_rows)

@@ -405,6 +405,7 @@ def brute_components(rows, k, near):
 @pytest.mark.parametrize("block", [4, 16])
 def test_near_duplicates(spark, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "PART", 3 * block)
     monkeypatch.setattr(near_dup, "PARTNERS", block)
     rng, rows = random.Random(13), []
     for _ in range(12):
