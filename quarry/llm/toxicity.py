@@ -3,11 +3,13 @@
 The lexicon is learnt from labelled texts that are not held out: at most
 ``SAMPLE`` toxic and as many clean ones.  Words and word beginnings (marked *)
 are terms if chance would hardly give so many toxic and so few clean texts to
-any candidate (near copies of a text count once),
-and if most texts they stand for are toxic.
+any candidate (toxic texts with the same three MinHash values are near copies and count once),
+and if most texts they stand for are toxic.  Candidates are counted and terms
+weighed where the sample lies; the driver gets those counts only that ``SUPPORT``
+toxic texts or more stand behind, so the sample bounds the lexicon.
 
 A word is matched by running the trie's Levenshtein automaton: its states are
-sets of (trie node, edits), made when first reached and kept, so a word costs a
+sets of (trie node, edits), made when first reached and kept up to ``STATES`` of them, so a word costs a
 table step per character and most words end after three.  Words of 5 letters may
 differ by one edit, of 9 by two; short ones and beginnings must be exact.
 
@@ -17,9 +19,11 @@ quotation (quote marks before and after, or words of reporting beside one) from
 abuse; words of address take that back.  Abuse adds up as 1 - prod(1 - weight);
 of quoted matches only the strongest counts, reduced by ``QUOTED``.
 
-Defined results: null or empty text scores 0; without labels the lexicon is
-empty and all scores are 0; a null doc_id counts as held out.  Repeated rows
-score alike.  Only doc_id, text and the label are read.
+Defined results: null or empty text scores 0; without labels or documents the
+lexicon is empty and all scores are 0; an empty table gives no rows; a null
+doc_id counts as held out.  Repeated rows score alike; of terms at equal
+distance the first counts.  Very long texts are scored whole, one in memory at a
+time.  Only doc_id, text and the label are read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table
+from .common import forget, held_out, labelled_sample, table, written
 
 SAMPLE = 3000
 SUPPORT = 4
@@ -44,7 +48,8 @@ QUOTED = 0.35
 THRESHOLD = 0.5
 PREFIX = (4, 8)
 KEPT = 0.97
-MOST_TERMS = 5000
+#: States that an automaton keeps before it starts anew; results don't depend on it.
+STATES = 20_000
 
 QUOTES = "\"“”„«»‹›"
 TRIM = ".,;:!?…()[]{}<>'’‘`*_~|-" + QUOTES
@@ -80,6 +85,9 @@ class Automaton:
                 self.most[node] = max(self.most[node], most)
             self.ends[node].append((no, most))
             self.open[node] |= term.endswith("*")
+        self._anew()
+
+    def _anew(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -121,6 +129,8 @@ class Automaton:
         return to
 
     def run(self, word: str) -> int:
+        if len(self.sets) > STATES:
+            self._anew()
         state = self.start
         for c in word:
             state = self.moves[state].get(c, -1) if c in self.moves[state] else self._move(state, c)
@@ -141,7 +151,7 @@ class Starts(dict):
         self.automaton = automaton
 
     def __missing__(self, start: str) -> bool:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         # What begins with a mark may be a term within marks.
         self[start] = ok = start[0] in TRIM or self.automaton.run(start) != self.automaton.dead
@@ -199,10 +209,6 @@ def is_quoted(words: list[str], i: int) -> bool:
     return bool(around & REPORTS) or inside or not around & ADDRESS
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def log_tail(n: int, of: int, share: float) -> float:
     """log P(Bin(of, share) >= n), for n above the mean."""
     if share <= 0 or n <= of * share:
@@ -219,23 +225,26 @@ def candidates(words: set[str]) -> set[str]:
     return out
 
 
-def learn(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = None) -> Model:
-    """A model from (label, distinct words) of texts; totals: how many clean and toxic texts they stand for."""
-    toxic = [set(words) for label, words in sample if label == 1]
-    clean = [set(words) for label, words in sample if label == 0]
-    # Near copies of one text support a term once: texts whose least word hash is the same.
-    first = {min(map(word_hash, words), default=0): words for words in reversed(toxic)}
-    n1 = Counter(t for words in first.values() for t in candidates(words))
-    share = len(first) / max(1, len(first) + len(clean))
-    n1 = {t: n for t, n in n1.items() if n >= SUPPORT}
-    n0: Counter[str] = Counter()
-    for words in clean:
-        n0.update(t for t in candidates(words) if t in n1)
-    n_clean, n_toxic = totals or (len(clean), len(toxic))
-    # A clean text of the sample counts as many as it stands for, by toxic ones.
-    ratio = (n_clean / max(1, len(clean))) / max(1e-9, n_toxic / max(1, len(toxic)))
+def copy_key(words: list[str]) -> str:
+    """Three MinHash values of a text's words: near copies have the same."""
+    return ":".join(str(min((xxhash.xxh3_64_intdigest(w, seed) for w in words), default=0)) for seed in (1, 2, 3))
+
+
+def counted(texts: Iterator[tuple[int, bool, list[str]]]) -> dict[str, list[int]]:
+    """For each candidate its (toxic, clean) texts, of (label, counts, distinct words): copies of toxic texts don't count."""
+    out: dict[str, list[int]] = {}
+    for label, counts, words in texts:
+        if counts:
+            for t in candidates(set(words)):
+                out.setdefault(t, [0, 0])[1 - label] += 1
+    return out
+
+
+def chosen(n1: dict[str, int], n0: dict[str, int], n_first: int, n_toxic: int, n_clean: int, ratio: float) -> list[str]:
+    """The lexicon, of candidates with at least ``SUPPORT`` toxic texts."""
+    share = n_first / max(1, n_first + n_clean)
     # Terms that chance would hardly give to so many toxic texts, not even to one of all candidates, and whose texts are mostly toxic.
-    good = {t: n for t, n in n1.items() if n >= n0[t] * ratio * len(first) / len(toxic) and log_tail(n, n + n0[t], share) + log(len(n1)) < log(CHANCE)}
+    good = {t: n for t, n in n1.items() if n >= n0[t] * ratio * n_first / max(1, n_toxic) and log_tail(n, n + n0[t], share) + log(len(n1)) < log(CHANCE)}
     # A beginning must tell much more than the best of its words, else the words stand for it.  Of nested ones that
     # have about the same toxic texts the longest stays, so that no clean word is caught by letters it needn't share.
     best: Counter[str] = Counter()
@@ -248,33 +257,81 @@ def learn(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None =
         if good[t] >= 1.5 * best[t] and n0[t] <= 0.02 * good[t] and not t.startswith(tuple(shortest)):
             longer = [u for u in good if u.endswith("*") and u.startswith(t[:-1]) and good[u] >= KEPT * good[t]]
             shortest.append(t[:-1])
-            starts.append(max(longer, key=len)[:-1])
-    words_ = [t for t in good if not t.endswith("*") and not t.startswith(tuple(starts))]
-    terms = sorted([*(t + "*" for t in starts), *words_], key=lambda t: (-good[t], t))[:MOST_TERMS]
-    model = Model(sorted(terms))
+            starts.append(max(longer, key=lambda u: (len(u), u))[:-1])
+    return sorted([*(t + "*" for t in starts), *(t for t in good if not t.endswith("*") and not t.startswith(tuple(starts)))])
+
+
+def matched_terms(model: Model, words: list[str]) -> set[tuple[int, bool]]:
     model.ready()
-    seen = {(label, kind): Counter() for label in (0, 1) for kind in (False, True)}
-    for label, texts in ((1, toxic), (0, clean)):
-        for words in texts:
-            for no, kind in {(hit[1], hit[0] > 0) for w in words if (hit := model.automaton.match(w))}:
-                seen[label, kind][no] += 1
+    return {(hit[1], hit[0] > 0) for w in words if (hit := model.automaton.match(w))}
+
+
+def weigh(model: Model, seen: dict[tuple[int, int, bool], int], ratio: float) -> Model:
+    """Give the terms their weights from ``seen``: (label, term, misspelt) -> texts; a clean text counts ``ratio`` times."""
     prior = {False: 1.8, True: 1.5}  # of two pseudo-texts
+    of = lambda label, no, kind: seen.get((label, no, kind), 0)
     for kind, weights in ((False, model.exact), (True, model.misspelt)):
-        weights += [(seen[1, kind][no] + prior[kind]) / (seen[1, kind][no] + seen[0, kind][no] * ratio + 2) for no in range(len(model.terms))]
+        weights += [(of(1, no, kind) + prior[kind]) / (of(1, no, kind) + of(0, no, kind) * ratio + 2) for no in range(len(model.terms))]
     # A misspelling that clean texts have about as often is none.
     model.misspelt = [w if w >= 0.6 else 0.0 for w in model.misspelt]
     return model
 
 
+def clean_ratio(n_clean: int, n_toxic: int, totals: tuple[int, int]) -> float:
+    """How many times as many texts a clean text of the sample stands for as a toxic one."""
+    return (totals[0] / max(1, n_clean)) / max(1e-9, totals[1] / max(1, n_toxic))
+
+
+def learn(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = None) -> Model:
+    """A model from (label, distinct words) of texts; totals: how many clean and toxic texts they stand for."""
+    keys, rows = set(), []
+    for label, words in sample:
+        key = copy_key(words) if label else None
+        rows.append((label, key is None or key not in keys, words))
+        keys.add(key)
+    n_toxic = sum(label for label, _ in sample)
+    n_clean = len(sample) - n_toxic
+    ratio = clean_ratio(n_clean, n_toxic, totals or (n_clean, n_toxic))
+    counts = {t: n for t, n in counted(iter(rows)).items() if n[0] >= SUPPORT}
+    model = Model(chosen({t: n[0] for t, n in counts.items()}, {t: n[1] for t, n in counts.items()}, len(keys - {None}), n_toxic, n_clean, ratio))
+    return weigh(model, Counter((label, no, kind) for label, words in sample for no, kind in matched_terms(model, words)), ratio)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [sorted({w.strip(TRIM) for w in (t or "").lower().split()} - {""}) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([" ".join(x) for x in found])], ["label", "words"])
+    """The model of the labelled texts that are not held out; see above for what reaches the driver."""
 
-    got = labelled_sample(docs, labels, "toxic", per_class).select("label", "text").mapInArrow(words, "label int, words string").toArrow()
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
+                found = [sorted({w.strip(TRIM) for w in (t or "").lower().split()} - {""}) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(map(copy_key, found), pa.string()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "key", "words"])
+
+    rows = labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "label", "text").mapInArrow(split, "doc_id long, label int, key string, words array<string>")
+    rows = written(rows, "sample")
+    first = rows.where("label = 1").groupBy("key").agg(F.min("doc_id").alias("first"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     totals = dict(labels.where(~held_out(F.col("doc_id").cast("long")) & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int")).count().collect())
-    return learn([(label, w.split()) for label, w in zip(got.column("label").to_pylist(), got.column("words").to_pylist(), strict=True)], (totals.get(0, 0), totals.get(1, 0)))
+    n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
+    ratio = clean_ratio(n_clean, n_toxic, (totals.get(0, 0), totals.get(1, 0)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                got = counted(zip(*(part.column(c).to_pylist() for c in ("label", "counts", "words")), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([n[0] for n in got.values()], pa.int64()), pa.array([n[1] for n in got.values()], pa.int64())], ["term", "n1", "n0"])
+
+    marked = rows.join(first, "key", "left").select("label", F.when(F.col("label") == 1, F.col("doc_id") == F.col("first")).otherwise(True).alias("counts"), "words")
+    counts = marked.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= SUPPORT).collect()
+    model = Model(chosen({r["term"]: r["n1"] for r in counts}, {r["term"]: r["n0"] for r in counts}, first.count(), n_toxic, n_clean, ratio))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(label, no, kind) for label, words in zip(b.column("label").to_pylist(), b.column("words").to_pylist(), strict=True) for no, kind in sorted(matched_terms(model, words))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))], ["label", "term", "misspelt"])
+
+    seen = rows.select("label", "words").mapInArrow(find, "label int, term int, misspelt boolean").groupBy("label", "term", "misspelt").count().collect() if model.terms else []
+    forget(rows)
+    return weigh(model, {(r["label"], r["term"], r["misspelt"]): r["count"] for r in seen}, ratio)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
