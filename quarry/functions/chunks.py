@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import collected
 from .text import CONTEXT_CHARS, WS, normalize_question, stems, strip
 
 
@@ -19,14 +20,14 @@ def split_chunks(text: Column, size: int = CONTEXT_CHARS) -> Column:
     none = F.array().cast("array<string>")
 
     def pack(a: Column, p: Column) -> Column:
-        fits = F.length(a["open"]) + 1 + F.length(p) <= size
-        empty = a["open"] == ""
+        fits = F.length(a["state"]) + 1 + F.length(p) <= size
+        empty = a["state"] == ""
         return F.struct(
-            F.when(empty | fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
-            F.when(empty, p).when(fits, F.concat(a["open"], F.lit("\n"), p)).otherwise(p).alias("open"),
+            F.when(empty, p).when(fits, F.concat(a["state"], F.lit("\n"), p)).otherwise(p).alias("state"),
+            F.when(empty | fits, a["out"]).otherwise(F.concat(a["out"], F.array(a["state"]))).alias("out"),
         )
 
-    return F.aggregate(pieces, F.struct(none.alias("done"), F.lit("").alias("open")), pack, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    return collected(pieces, F.lit(""), none, pack, lambda a: F.when(a["state"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["state"]))))
 
 
 def select_context(text: Column, fragment: Column, question: Column, answer: Column, size: int = CONTEXT_CHARS, text_norm: Column | None = None, chunks: Column | None = None) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = r"\p{L}\p{N}_"
+WORD = r"a-z0-9_A-Z\p{L}\p{N}"
+#: WS as a set of characters, for the trim functions: a pattern like ``[WS]+$`` takes quadratic time.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 STEM_LETTERS = 5
 LEAST_WORD = 4
@@ -19,7 +21,7 @@ CONTEXT_CHARS = 1800
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -34,11 +36,13 @@ def clean_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
+def _lower(c: Column) -> Column:
+    return F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
+
+
 def normalize_question(c: Column) -> Column:
     """Lower case, ё as е, other marks as spaces, single spaces; null as ''."""
-    c = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
-    c = F.regexp_replace(c, f"[^{WORD}{WS}]", " ")
-    return strip(F.regexp_replace(c, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(_lower(c), f"[^{WORD}]+", " "))
 
 
 def normalize_answer(c: Column) -> Column:
@@ -48,9 +52,9 @@ def normalize_answer(c: Column) -> Column:
 
 
 def stems(c: Column) -> Column:
-    """Distinct beginnings of the words of four letters or more."""
-    long = F.filter(F.split(normalize_question(c), " "), lambda w: F.length(w) >= LEAST_WORD)
-    return F.array_distinct(F.transform(long, lambda w: F.substring(w, 1, STEM_LETTERS)))
+    """Distinct beginnings of the words of four letters or more of the normal form."""
+    # A match takes the first letters as its group and the rest of the word with it.
+    return F.array_distinct(F.regexp_extract_all(_lower(c), F.lit(f"([{WORD}]{{{LEAST_WORD},{STEM_LETTERS}}})[{WORD}]*+"), F.lit(1)))
 
 
 def token_set(c: Column) -> Column:
@@ -87,4 +91,4 @@ def truncate_context(c: Column, most: int | None = CONTEXT_CHARS) -> Column:
     space = F.length(cut) - F.instr(F.reverse(cut), " ")
     space = F.when(F.instr(cut, " ") > 0, space).otherwise(F.lit(-1))
     cut = F.when(space > 0.8 * most, F.substring(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(cut, f"[{WS}]+$", ""), F.lit(" …")))
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.rtrim(cut, F.lit(SPACES)), F.lit(" …")))

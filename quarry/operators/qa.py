@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,18 +27,11 @@ PAIRS = "array<struct<is_object:boolean,instruction:string,input:string,output:s
 
 
 def parse_reply(reply: str) -> list:
-    """The JSON array in a model's reply, which may be fenced or have text around it."""
-    reply = reply.strip()
-    if reply.startswith("```"):
-        reply = re.sub(r"\A```(?:json)?\s*", "", reply)
-        reply = re.sub(r"\s*```\Z", "", reply)
-    begin, finish = reply.find("["), reply.rfind("]")
-    if begin == -1 or finish <= begin:
+    """The JSON array in a model's reply: from its first opening to its last closing bracket, whatever fence or text is around."""
+    found = re.search(r"\[.*\]", reply, re.DOTALL)
+    if found is None:
         raise ValueError("the reply holds no JSON array")
-    got = json.loads(reply[begin : finish + 1])
-    if not isinstance(got, list):
-        raise ValueError("the reply's JSON is no array")
-    return got
+    return json.loads(found[0])
 
 
 def coerced(items: list) -> list[dict]:
@@ -134,14 +128,30 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.agg(count("accepted", "examples"), count("empty", "empty"), count("duplicate", "duplicates"), count("ungrounded", "ungrounded"))
 
 
-def build_dataset(corpus: DataFrame, generator: Generator, done: DataFrame | None = None, most: int | None = MAX_DOCUMENTS, questions: int = QUESTIONS, max_chars: int = MAX_CHARS, size: int = CONTEXT_CHARS, least: float = MIN_GROUNDING) -> tuple[DataFrame, DataFrame]:
-    """(records, statistics) from a corpus (document_id, text, ord, ...)."""
+def written_once(rows: DataFrame, path: str | None) -> DataFrame:
+    """``rows`` from where they are written: ``path``, or a checkpoint in the session's ``spark.checkpoint.dir``; cached if neither is given."""
+    spark = rows.sparkSession
+    if path is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            return rows.persist()
+        path = f"{folder.rstrip('/')}/replies-{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def build_dataset(corpus: DataFrame, generator: Generator, done: DataFrame | None = None, most: int | None = MAX_DOCUMENTS, questions: int = QUESTIONS, max_chars: int = MAX_CHARS, size: int = CONTEXT_CHARS, least: float = MIN_GROUNDING, replies: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, statistics) from a corpus (document_id, text, ord, ...).
+
+    A generator may answer otherwise when asked again, so its replies are written
+    once, to ``replies``, and both results read them from there.
+    """
     chosen = first_documents(corpus, "ord", most)
     todo = chosen if done is None else remaining(chosen, done)
     full = todo.where(~is_blank(F.col("text"))).withColumn("text", strip(F.col("text")))
-    raw = generated(full, generator, questions, max_chars).persist()
+    raw = written_once(generated(full, generator, questions, max_chars), replies)
     path = "relative_path" if "relative_path" in corpus.columns else None
-    rows = judged(with_context(pairs_of(raw.where("raw is not null"), path=path, size=size), size), least=least).persist()
+    rows = judged(with_context(pairs_of(raw.where("raw is not null"), path=path, size=size), size), least=least)
     seen = raw.agg(F.count_if(F.col("raw").isNotNull()).alias("documents"), F.count_if(F.col("raw").isNull()).alias("failed"))
     skipped = chosen.agg(F.count("*").alias("n")).crossJoin(todo.agg(F.count("*").alias("m"), F.count_if(is_blank(F.col("text"))).alias("skipped_empty")))
     skipped = skipped.select((F.col("n") - F.col("m")).alias("skipped_done"), "skipped_empty")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..operators import evaluate, profile, qa, sft, split, validate
 from ..sources import files, jsonl
 
@@ -23,7 +24,7 @@ def extract_documents(spark: SparkSession, input_dir: str, output: str, max_docu
 
 def inspect_corpus(spark: SparkSession, input: str, top: int = profile.TOP, min_text_length: int = profile.SHORT) -> dict[str, DataFrame]:
     """The report's parts: profile, frequencies and the first ``top`` suspicious documents by physical line."""
-    lines = validate.numbered_lines(spark, input).where(F.trim("value") != "")
+    lines = validate.numbered_lines(spark, input).where(~is_blank(F.col("value")))
     corpus = lines.select("line", F.from_json("value", jsonl.CORPUS, {"mode": "FAILFAST"}).alias("r")).select("line", "r.*")
     return {
         "profile": profile.corpus_profile(corpus, short=min_text_length),
@@ -35,10 +36,10 @@ def inspect_corpus(spark: SparkSession, input: str, top: int = profile.TOP, min_
 
 def generate_qa_dataset(spark: SparkSession, input: str, output: str, generator: qa.Generator, resume: bool = False, max_documents: int | None = qa.MAX_DOCUMENTS, **options) -> str:
     """Pairs for the first ``max_documents`` documents; with ``resume`` appended to what is there."""
-    corpus = validate.numbered_lines(spark, input).where(F.trim("value") != "")
+    corpus = validate.numbered_lines(spark, input).where(~is_blank(F.col("value")))
     corpus = corpus.select(F.col("line").alias("ord"), F.from_json("value", jsonl.CORPUS, {"mode": "FAILFAST"}).alias("r")).select("ord", "r.*")
     done = jsonl.read_jsonl(spark, output, jsonl.QA_RAW) if resume else None
-    records, stats = qa.build_dataset(corpus, generator, done, most=max_documents, **options)
+    records, stats = qa.build_dataset(corpus, generator, done, most=max_documents, replies=f"{output}.replies", **options)
     jsonl.write_jsonl(records, output, append=resume)
     return jsonl.write_report(stats, f"{output}.stats")
 
@@ -49,7 +50,7 @@ def prepare_dataset(spark: SparkSession, input: str, output: str) -> int:
 
 def split_dataset(spark: SparkSession, input: str, output_dir: str, seed: int = split.SEED, train_ratio: float = split.TRAIN, validation_ratio: float = split.VALIDATION, max_documents: int | None = None) -> None:
     split.check_ratios(train_ratio, validation_ratio)
-    lines = validate.numbered_lines(spark, input).where(F.trim("value") != "")
+    lines = validate.numbered_lines(spark, input).where(~is_blank(F.col("value")))
     records = lines.select("line", F.from_json("value", jsonl.RECORD, {"mode": "FAILFAST"}).alias("r")).select("line", "r.*")
     split.check_ids(records, "line")
     split.write_splits(split.split_records(records.drop("line"), train_ratio, validation_ratio, seed, max_documents), output_dir)

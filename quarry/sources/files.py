@@ -13,6 +13,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,51 @@ def read_text(data: bytes) -> Parts:
     return re.sub("\r\n?", "\n", data.decode("utf-8", "ignore")), 1, "native"
 
 
-def _paragraph(p: ET.Element) -> str:
+def _run(r: ET.Element) -> str:
+    """A run's own text; breaks of pages and columns have none."""
     out = []
-    for e in p.iter():
+    for e in r:
         if e.tag == _W + "t":
             out.append(e.text or "")
-        elif e.tag == _W + "tab":
+        elif e.tag in (_W + "tab", _W + "ptab"):
             out.append("\t")
-        elif e.tag in (_W + "br", _W + "cr"):
+        elif e.tag == _W + "noBreakHyphen":
+            out.append("-")
+        elif e.tag == _W + "cr" or (e.tag == _W + "br" and e.get(_W + "type", "textWrapping") == "textWrapping"):
             out.append("\n")
     return "".join(out)
 
 
+def _paragraph(p: ET.Element) -> str:
+    """The text of a paragraph's runs and of its links' runs: not of text boxes, insertions or deletions."""
+    runs = [r for e in p for r in (e.findall(_W + "r") if e.tag == _W + "hyperlink" else [e] if e.tag == _W + "r" else [])]
+    return "".join(map(_run, runs))
+
+
+def _number(e: ET.Element | None, path: str, default: int) -> int:
+    found = None if e is None else e.find(path)
+    return default if found is None else int(found.get(_W + "val", default))
+
+
+def _grid(tbl: ET.Element) -> Iterator[list[str]]:
+    """A table's rows by grid column: a cell that spans columns or rows stands in each of them."""
+    above: dict[int, str] = {}
+    for tr in tbl.findall(_W + "tr"):
+        at, row, here = _number(tr.find(_W + "trPr"), _W + "gridBefore", 0), [], {}
+        for tc in tr.findall(_W + "tc"):
+            props = tc.find(_W + "tcPr")
+            merge = None if props is None else props.find(_W + "vMerge")
+            text = "\n".join(_paragraph(p) for p in tc.findall(_W + "p"))
+            if merge is not None and merge.get(_W + "val", "continue") == "continue":
+                text = above.get(at, text)
+            for _ in range(_number(props, _W + "gridSpan", 1)):
+                here[at] = text
+                row.append(text)
+                at += 1
+        above = here
+        yield row
+
+
 def read_docx(data: bytes) -> Parts:
     """Paragraphs that aren't empty, then tables row by row; units count all body paragraphs."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -58,9 +92,7 @@ def read_docx(data: bytes) -> Parts:
     parts = [p.strip() for p in paragraphs if p.strip()]
     for i, tbl in enumerate(body.findall(_W + "tbl"), 1):
         parts.append(f"[TABLE {i}]")
-        for tr in tbl.findall(_W + "tr"):
-            cells = ["\n".join(_paragraph(p) for p in tc.findall(_W + "p")) for tc in tr.findall(_W + "tc")]
-            parts.append(" | ".join(c.strip().replace("\n", " ") for c in cells))
+        parts += [" | ".join(c.strip().replace("\n", " ") for c in row) for row in _grid(tbl)]
     return "\n".join(parts), len(paragraphs), "native"
 
 
@@ -83,12 +115,20 @@ def read_pptx(data: bytes) -> Parts:
             for shape in tree.findall(_P + "sp"):
                 body = shape.find(_P + "txBody")
                 if body is not None:
-                    text = "\n".join("".join("\n" if e.tag == _A + "br" else e.text or "" for e in p.iter() if e.tag in (_A + "t", _A + "br")) for p in body.findall(_A + "p"))
+                    text = "\n".join("".join(map(_slide_text, p)) for p in body.findall(_A + "p"))
                     if text.strip():
                         parts.append(text.strip())
     return "\n".join(parts), len(slides), "native"
 
 
+def _slide_text(e: ET.Element) -> str:
+    """Text of a run or field; a line break within a paragraph is a vertical tab."""
+    if e.tag == _A + "br":
+        return "\v"
+    t = e.find(_A + "t") if e.tag in (_A + "r", _A + "fld") else None
+    return "" if t is None else t.text or ""
+
+
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]*", ref)[0]:
@@ -96,7 +136,43 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _cell(c: ET.Element, shared: list[str]) -> str:
+# The built-in number formats that show dates or times, and the one that shows a duration.
+_DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 47)
+_DURATION_FORMATS = (46,)
+
+
+def _temporal(code: str) -> str | None:
+    """'duration', 'date' or None for what a number format shows, quoted and bracketed parts aside."""
+    if re.search(r"\[(?:h+|m+|s+)\]", code, re.IGNORECASE):
+        return "duration"
+    bare = re.sub(r'"[^"]*"|\[[^\]]*\]|[\\_*].', "", code.split(";")[0])
+    return "date" if re.search("[dmhys]", bare, re.IGNORECASE) else None
+
+
+def _styles(z: zipfile.ZipFile) -> list[str | None]:
+    """By cell style, whether its numbers are dates or durations."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    kinds = {**dict.fromkeys(_DATE_FORMATS, "date"), **dict.fromkeys(_DURATION_FORMATS, "duration")}
+    kinds |= {int(f.get("numFmtId")): _temporal(f.get("formatCode", "")) for f in root.iter(_S + "numFmt")}
+    return [kinds.get(int(x.get("numFmtId", "0"))) for x in root.findall(f"{_S}cellXfs/{_S}xf")]
+
+
+def _moment(days: float, epoch: datetime, kind: str) -> str:
+    """A serial number of days as date and time, as a time of day below 1, or as a duration."""
+    if kind == "duration":
+        return str(timedelta(milliseconds=round(days * 86_400_000)))
+    whole, part = divmod(days, 1)
+    of_day = timedelta(milliseconds=round(part * 86_400_000))
+    if 0 <= days < 1 and of_day < timedelta(days=1):
+        return str((datetime.min + of_day).time())
+    if 0 < days < 60 and epoch.year < 1904:  # the calendar of these files has a 29 February 1900
+        whole += 1
+    return str(epoch + timedelta(days=whole) + of_day)
+
+
+def _cell(c: ET.Element, shared: list[str], styles: list[str | None], epoch: datetime) -> str:
     kind, v = c.get("t", "n"), c.find(_S + "v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in c.iter(_S + "t"))
@@ -106,27 +182,39 @@ def _cell(c: ET.Element, shared: list[str]) -> str:
         return shared[int(v.text)]
     if kind == "b":
         return str(v.text == "1")
+    if kind == "d":
+        return str(datetime.fromisoformat(v.text))
     if kind == "n":
-        x = float(v.text)
-        return str(int(x)) if x.is_integer() and not re.search("[.eE]", v.text) else str(x)
+        x, style = float(v.text), int(c.get("s", "0"))
+        if style < len(styles) and styles[style]:
+            return _moment(x, epoch, styles[style])
+        return str(int(v.text)) if re.fullmatch("[+-]?[0-9]+", v.text) else str(x)
     return v.text
 
 
 def read_xlsx(data: bytes) -> Parts:
-    """Each sheet's marker and its rows that aren't blank; units are those rows."""
+    """Each sheet's marker and its rows that aren't blank, as wide as the sheet says it is; units are those rows."""
     parts, units = [], 0
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
+        shared, styles = [], _styles(z)
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(_S + "si")]
-        rels = _related(z, "xl/workbook.xml")
-        for sheet in ET.fromstring(z.read("xl/workbook.xml")).find(_S + "sheets"):
+            # A string's own text and its runs', not its pronunciation.
+            shared = ["".join(t.text or "" for t in (*si.findall(_S + "t"), *si.findall(f"{_S}r/{_S}t"))) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(_S + "si")]
+        book, rels = ET.fromstring(z.read("xl/workbook.xml")), _related(z, "xl/workbook.xml")
+        props = book.find(_S + "workbookPr")
+        epoch = datetime(1904, 1, 1) if props is not None and props.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+        for sheet in book.find(_S + "sheets"):
             parts.append(f"[SHEET: {sheet.get('name')}]")
-            for row in ET.fromstring(z.read(rels[sheet.get(_R + "id")])).iter(_S + "row"):
+            root = ET.fromstring(z.read(rels[sheet.get(_R + "id")]))
+            size = root.find(_S + "dimension")
+            width = _column(size.get("ref").rpartition(":")[2]) + 1 if size is not None and size.get("ref") else None
+            for row in root.iter(_S + "row"):
                 values: list[str] = []
                 for c in row.findall(_S + "c"):
                     at = _column(c.get("r", "")) if c.get("r") else len(values)
-                    values += [""] * (at - len(values)) + [_cell(c, shared)]
+                    values += [""] * (at - len(values)) + [_cell(c, shared, styles, epoch)]
+                if width:
+                    values = (values + [""] * (width - len(values)))[:width]
                 if any(v.strip() for v in values):
                     parts.append(" | ".join(values))
                     units += 1
@@ -153,24 +241,40 @@ def pdf_reader(native: Callable[[bytes], list[str]], ocr: Callable[[bytes], list
         if ocr is not None and needs_ocr(text, len(pages)):
             seen = ocr(data)
             other = framed_pages(seen)
-            if len(other.strip()) > len(text.strip()):
+            if len(other) > len(text):
                 return other, len(seen), "ocr"
         return text, len(pages), "native"
 
     return read
 
 
-def discovered(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
-    """(path, relative_path, file_name, extension, content) of supported files under ``root``, the first ``most`` by path parts."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: Larger files than a row can hold become error rows.
+LARGEST = (1 << 31) - 1
+
+
+def discovered(spark: SparkSession, root: str, most: int | None = None, largest: int = LARGEST) -> DataFrame:
+    """(path, relative_path, file_name, extension, content) of supported files under ``root``, the first ``most`` by path parts.
+
+    Files are chosen by their names alone; only what is chosen is read.  The
+    content of files over ``largest`` bytes is null.
+    """
+    fold = lambda suffix: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    reader = lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*{" + ",".join(map(fold, SUPPORTED)) + "}")
     # Both as plain paths: listing may add or drop a scheme.
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
     base = re.sub("^[a-z]+:/+", "/", root).rstrip("/")
-    files = files.withColumn("relative_path", F.substring(plain(F.col("path")), len(base) + 2, 1 << 20))
+    relative = F.substring(plain(F.col("path")), len(base) + 2, 1 << 20)
+    all_ = reader().option("recursiveFileLookup", "true").load(root)
+    files = all_
+    if most is not None:
+        # At most ``most`` paths come to the driver: the step's own limit.
+        paths = [r["path"] for r in all_.select("path").orderBy(F.split(relative, "/")).limit(most).collect()]
+        files = reader().load(paths) if paths else all_.limit(0)
+    read = files.where(F.col("length") <= largest).select("path", "content")
+    files = read.unionAll(files.where(F.col("length") > largest).select("path", F.lit(None).cast("binary")))
     name = F.element_at(F.split("relative_path", "/"), -1)
-    files = files.withColumns({"file_name": name, "extension": F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))}).where(F.col("extension").isin(*SUPPORTED))
-    files = files.select("path", "relative_path", "file_name", "extension", "content")
-    return files if most is None else files.orderBy(F.split("relative_path", "/")).limit(most)
+    files = files.withColumn("relative_path", relative).withColumns({"file_name": name, "extension": F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))})
+    return files.where(F.col("extension").isin(*SUPPORTED)).select("path", "relative_path", "file_name", "extension", "content")
 
 
 def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
@@ -182,6 +286,8 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
             rows = []
             for data, ext in zip(pdf["content"], pdf["extension"], strict=True):
                 try:
+                    if data is None:
+                        raise RuntimeError("the file is too large to read")
                     if ext not in known:
                         raise RuntimeError(f"no reader for {ext}")
                     rows.append((*known[ext](bytes(data)), None))

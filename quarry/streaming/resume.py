@@ -11,20 +11,22 @@ from ..sources import jsonl
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, generator: qa.Generator, **options) -> StreamingQuery:
-    """Generate pairs for the documents of new JSON-lines files under ``source`` and append records to ``target``.
+    """Generate pairs for the documents of new JSON-lines files under ``source``; records go to ``target``, a folder per micro-batch.
 
-    Each micro-batch leaves out documents that already have records.  A batch that
-    is run again after a failure leaves out what it has written before, so
-    documents aren't generated twice.
+    Each micro-batch leaves out documents that batches before it have records of;
+    their ids are kept beside the records, so that no text is read again.  A
+    batch that is run again after a failure writes its own folders anew.
     """
     docs = spark.readStream.schema(jsonl.CORPUS).json(source)
+    ids = f"{target}.done"
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, no: int) -> None:
         batch = batch.withColumn("ord", F.xxhash64("document_id", "relative_path"))
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        done = jsonl.read_jsonl(spark, target, jsonl.QA_RAW) if path.getFileSystem(conf).exists(path) else None
-        records, _stats = qa.build_dataset(batch, generator, done, most=None, **options)
-        jsonl.write_jsonl(records, target, append=True)
+        before = None
+        if no:
+            before = spark.read.schema("document_id string, batch long").parquet(ids).where(F.col("batch") < no)
+        records, _stats = qa.build_dataset(batch, generator, before, most=None, replies=f"{target}.replies/batch={no}", **options)
+        jsonl.write_jsonl(records, f"{target}/batch={no}")
+        spark.read.schema("document_id string").json(f"{target}/batch={no}").distinct().write.mode("overwrite").parquet(f"{ids}/batch={no}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -110,3 +110,28 @@ def test_rounding(spark):
     values = [0.0625, 1 / 3, 2 / 3, 0.12345, 1234.5678]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(tx.rounded(F.col("v"), 3)).collect()
     assert [r[0] for r in got] == [round(v, 3) for v in values]
+
+
+def test_long_gaps_take_linear_time(spark):
+    import time
+
+    gap = "".join(["x", "\n " * 500_000, "x"])
+    makes = (tx.is_blank, tx.normalize_answer, tx.normalize_question, lambda c: F.length(tx.clean_text(c)), lambda c: tx.truncate_context(c, 300), lambda c: F.size(split_chunks(c, 500)))
+    column(spark, ["a b"], lambda c: F.struct(*(m(c).cast("string") for m in makes)))
+    began = time.perf_counter()
+    got = column(spark, [gap], lambda c: F.struct(*(m(c).cast("string") for m in makes)))[0]
+    assert tuple(got)[:3] == ("false", "x x", "x x") and time.perf_counter() - began < 15
+
+
+def test_many_chunks(spark):
+    text = "\n".join(f"paragraph {i} " + "w" * (i % 90) for i in range(3000))
+    chunks, want, now = column(spark, [text], lambda c: split_chunks(c, 100))[0], [], ""
+    for p in text.split("\n"):
+        p = p.strip()
+        for piece in (p[i : i + 100] for i in range(0, len(p), 100)):
+            if now and len(now) + 1 + len(piece) <= 100:
+                now += "\n" + piece
+            else:
+                want += [now] if now else []
+                now = piece
+    assert chunks == [*want, now] and len(chunks) > 1000

@@ -168,6 +168,62 @@ def test_extraction(spark, tmp_path):
     assert read(b"") == ("[PAGE 1]\na longer text", 1, "ocr")
 
 
+def test_office_details(spark, tmp_path):
+    r = lambda t: f"<w:r>{t}</w:r>"
+    t = lambda x: f"<w:t>{x}</w:t>"
+    box = f"<w:r><w:txbxContent><w:p>{r(t('BOX'))}</w:p></w:txbxContent></w:r>"
+    body = f"<w:p>{r(t('a') + '<w:noBreakHyphen/>' + t('b'))}<w:hyperlink>{r(t('link'))}</w:hyperlink>{box}<w:ins>{r(t('new'))}</w:ins></w:p>"
+    cell = lambda x, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p>{r(t(x))}</w:p></w:tc>"
+    rows = f"<w:tr>{cell('x', '<w:gridSpan w:val=&quot;2&quot;/>'.replace('&quot;', chr(34)))}{cell('y', '<w:vMerge w:val=&quot;restart&quot;/>'.replace('&quot;', chr(34)))}</w:tr><w:tr>{cell('1')}{cell('2')}{cell('', '<w:vMerge/>')}</w:tr>"
+    docx = office({"word/document.xml": f"<w:document {W}><w:body>{body}<w:tbl>{rows}</w:tbl></w:body></w:document>"})
+    assert files.read_docx(docx)[0] == "a-blink\n[TABLE 1]\nx | x | y\n1 | 2 | y"
+    xlsx = office({
+        "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {S}><numFmts><numFmt numFmtId="170" formatCode="[h]:mm"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {S}><dimension ref="A1:E1"/><sheetData><row><c r="A1" s="1"><v>43831</v></c><c r="B1" s="1"><v>43831.5</v></c><c r="C1" s="2"><v>1.25</v></c><c r="D1" s="3"><v>2.5</v></c></row></sheetData></worksheet>',
+    })
+    assert files.read_xlsx(xlsx)[0] == "[SHEET: S]\n2020-01-01 00:00:00 | 2020-01-01 12:00:00 | 1 day, 6:00:00 | 2.5 | "
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "b.TXT").write_text("y" * 100)
+    (tmp_path / "c.bin").write_text("z")
+    got = {r["relative_path"]: r for r in files.extracted(files.discovered(spark, str(tmp_path), largest=50)).collect()}
+    assert set(got) == {"a.txt", "b.TXT"} and got["a.txt"]["text"] == "x" and "too large" in got["b.TXT"]["error"]
+    assert [r["relative_path"] for r in files.discovered(spark, str(tmp_path), 1).collect()] == ["a.txt"]
+
+
+def test_line_numbers_over_several_files(spark, tmp_path):
+    want, parts = [], {"part-00000": 2, "part-00001": 50, "part-00002": 3}
+    for name, n in parts.items():
+        lines = [f"{name} {i}" if i % 3 else "" for i in range(n)]
+        (tmp_path / f"{name}.json").write_text("\n".join(lines) + "\n")
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = {r["line"]: r["value"] for r in validate.numbered_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(want, 1))
+
+
+def test_field_rules(spark):
+    cases = {
+        '{"document_id": true, "instruction": "q", "output": "a"}': ("True", "unknown", None),
+        '{"document_id": 12345678901234567890123, "instruction": "q", "output": "a", "document_type": 0}': ("12345678901234567890123", "unknown", None),
+        '{"document_id": 1.5, "instruction": "q", "output": "a"}': (None, None, "'document_id' must be a non-empty string"),
+        '{"document_id": "d", "instruction": ["q"], "output": "a"}': (None, None, "'instruction' must be a non-empty string"),
+        '{"document_id": "d", "instruction": "q", "output": " \\t"}': (None, None, "'output' must be a non-empty string"),
+        '{"document_id": "d", "instruction": "q", "output": "a", "document_type": "0", "input": null}': ("d", "0", None),
+        '{"document_id": "d", "instruction": "q", "output": "a", "document_type": [1]}': (None, None, "'document_type' must be a string"),
+        '{"document_id": "d", "instruction": "q", "output": "a", "document_type": {}}': ("d", "unknown", None),
+        '"text"': (None, None, "expected a JSON object"),
+        "{": (None, None, "invalid JSON"),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases, 1)), "line long, value string")
+    got = {r["line"]: (r["document_id"], r["document_type"], r["error"]) for r in validate.checked(rows).collect()}
+    assert got == dict(enumerate(cases.values(), 1))
+
+
 def test_stream_resumes(spark, tmp_path):
     from quarry.streaming import resume
 
