@@ -17,7 +17,10 @@ column: array of struct(name, start, end) in code points, sorted, not overlappin
 
 Defined results: null or empty text has no tokens and no sections; an empty line
 is a section; repeated rows each get their counts; other columns aren't read.
-Texts without any boundary are encoded like others, with memory by their length.
+An empty table gives no rows.  Texts without any boundary are encoded like
+others, with memory by their length; so are long runs of white space, which
+the splitting pattern's engine can't hold: such a run is a piece of its own but
+for its last character, which the pattern leaves to what follows.
 The vocabulary's path is a parameter and must exist on every worker.
 """
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,6 +42,9 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before merging, as the public 50k byte-level vocabulary was made.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern has it, in runs that are taken out of its hands.
+LONG_RUN = 10_000
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 RULES = ("first", "last", "most")
 
 
@@ -54,10 +61,21 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def token_ids(encoding, text: str, long_run: int = LONG_RUN) -> list[int]:
+    """The tokens of a whole text: what ``encode_ordinary`` gives, for texts of any make."""
+    out, at = [], 0
+    for run in re.finditer(SPACES + "{%d,}" % long_run, text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(text: str, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of a text's tokens."""
     encoding, sizes = encoder(path)
-    end = np.cumsum(sizes[np.asarray(encoding.encode_ordinary(text), np.int64)])
+    end = np.cumsum(sizes[np.asarray(token_ids(encoding, text), np.int64)])
     return np.concatenate(([0], end[:-1])) if len(end) else end, end
 
 

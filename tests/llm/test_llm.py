@@ -110,13 +110,44 @@ def test_token_counts(spark):
         assert r["n_bytes"] == len(t.encode())
     given = spark.createDataFrame([(1, "é😀 naïve end", [("head", 0, 2), ("tail", 3, 8)])], "doc_id long, text string, parts array<struct<name:string,start:long,end:long>>")
     got = token_counts.count_tokens(given, sections="parts").first()["sections"]
-    assert [s["name"] for s in got] == ["head", "tail"] and got[0]["tokens"] > 0
+    ids = [len(encoding.encode_ordinary(x)) for x in ("é😀", " naïve")]
+    # The first token of " naïve" begins at the space, which is in no section.
+    assert [(s["name"], s["tokens"]) for s in got] == [("head", ids[0]), ("tail", ids[1] - 1)]
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_counts.VOCABULARY.replace(".tiktoken", ".json"))
     text = "Some words, 12 numbers\nand naïve lines."
     starts, ends = token_counts.token_spans(text)
     assert len(starts) == len(t.encode(text, add_special_tokens=False).ids) and ends[-1] == len(text.encode())
+    assert token_counts.count_tokens(df.limit(0)).count() == 0
+
+
+def test_long_white_space(spark):
+    encoding, _ = token_counts.encoder(token_counts.VOCABULARY)
+    rng = random.Random(16)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "1", ".", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u3000", "\x1c", "é", " 's"]) for _ in range(rng.randrange(30)))
+        assert token_counts.token_ids(encoding, text, 2) == encoding.encode_ordinary(text), repr(text)
+    texts = [" " * 1_000_000, "x" + "\n" * 1_000_000 + "y", "a" + " \n" * 2_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(df).select("doc_id", "n_bytes", "n_tokens").collect()}
+    assert [got[i]["n_bytes"] for i in range(3)] == [len(t) for t in texts] and got[0]["n_tokens"] == 1_000_000
+
+
+def test_token_counts_of_a_table(spark):
+    """The query against the encoder on every line end to line end."""
+    encoding, sizes = token_counts.encoder(token_counts.VOCABULARY)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = token_counts.query(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        data, at, want, crossing = texts[r["doc_id"]].encode(), 0, defaultdict(int), 0
+        for token in encoding.encode_ordinary(texts[r["doc_id"]]):
+            want[data.count(b"\n", 0, at)] += 1  # the line that holds the first byte
+            crossing += b"\n" in data[at : at + int(sizes[token]) - 1]
+            at += int(sizes[token])
+        lines = data.count(b"\n") + 1 - (data.endswith(b"\n") or not data)
+        assert r["line_tokens"] == [want[i] for i in range(lines)] and (r["n_bytes"], r["n_tokens"], r["n_crossing"]) == (len(data), sum(want.values()), crossing)
 
 
 def labelled(rng, n):
