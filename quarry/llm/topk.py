@@ -1,22 +1,28 @@
 """Exact top-k inner products by multi-resolution segment statistics (operator 7).
 
-Vectors become integers, floor(256 * x).  For a segment of L components with
+Vectors become integers, floor(256 * x).  Their inner products don't change when
+all are turned alike, so a rotation to the principal axes of the whole table
+(sums of squares over all rows) brings what tells vectors apart to the front.  For a segment of L components with
 means m, n and deviations s, t of two vectors, Cauchy-Schwarz gives
 ``dot <= L * (m * n + s * t)``; with the norms that is the segment lower bound of
 the squared distance, ``L * ((m - n)^2 + (s - t)^2)``.  Summed over segments it
-bounds a whole score, the tighter the finer.  Each block of queries meets each
-block of candidates once: bounds from coarse to fine drop pairs that can't
-reach the queries' k-th best score so far, and survivors get exact integer
-scores.  A block keeps k rows a query; the k best of those are the result.
+bounds a whole score.  From coarse to fine the leading axes' segments, of ``SEGMENT``
+components, give way to single components; a pair goes on only while its bound
+reaches the query's bar, and survivors get exact integer scores.
+
+The table is dealt into chunks.  A first pass gives each query a bar, its k-th
+best score within one chunk; the second sends every query with its bar past every chunk, which
+holds candidates in memory and raises the bar as it goes.  Only queries are copied, and a chunk
+returns what beats the bars.  The k best of that are the result.
 
 Bounds are widened by a margin above their rounding error, and pairs that
-equal the k-th score survive, so ties go to the smaller vec_id exactly.
+equal the bar survive, so ties go to the smaller vec_id exactly.
 
 Defined results: null vectors and those with null or non-finite components take
 no part, nor do rows without an id; vectors of another length never meet; a
-query with fewer than k others gets them all.  Repeated ids: a query's own id is
+query with fewer than k others gets them all; an empty table gives no rows.  Repeated ids: a query's own id is
 no candidate, each repeated row is a candidate of its own, and a repeated query
-asks once, with its least vector.  Extra columns are not read.
+asks once, with its least vector.  Scores that no long can hold raise an error.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
-CANDIDATE_BLOCK = 4096
-QUERY_BLOCK = 512
-SEGMENTS = (4, 8, 16)
-LARGEST = 1 << 26
+#: Rows of a chunk: at most so many, but so few in small tables that there are ``CHUNKS``.
+CHUNK, LEAST_CHUNK, CHUNKS = 1 << 16, 1 << 11, 64
+QUERIES, COLUMNS = 256, 8192
+SEGMENT = 8
+#: Shares of the axes that are single components, by resolution.
+FINE = (0.0, 0.5, 0.75, 0.875)
+#: Below this share of survivors pairs go on one by one.
+SPARSE = 0.05
 
 
 def usable(vec: Column) -> Column:
@@ -41,80 +51,179 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, ok)
 
 
-def bounds(x: np.ndarray, segments: int) -> np.ndarray:
-    """Per row the means and deviations of its segments, scaled so that a dot product of two rows bounds theirs from above."""
-    n, d = x.shape
-    edges = np.linspace(0, d, min(segments, d) + 1).astype(int)
-    out = np.empty((n, 2 * (len(edges) - 1)))
-    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        part = x[:, a:b]
-        out[:, 2 * i] = part.mean(1) * np.sqrt(b - a)
-        out[:, 2 * i + 1] = part.std(1) * np.sqrt(b - a)
-    return out
+def bounds(y: np.ndarray, fine: int, segment: int = SEGMENT) -> np.ndarray:
+    """Per row ``fine`` single components, then means and deviations of segments, scaled so that a dot product of two rows bounds theirs from above."""
+    n, d = y.shape
+    edges = [*range(fine, d, segment), d]
+    out = [y[:, :fine]]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        part = y[:, a:b]
+        out += [part.mean(1, keepdims=True) * np.sqrt(b - a), part.std(1, keepdims=True) * np.sqrt(b - a)]
+    return np.concatenate(out, axis=1)
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows of ``q`` and ``x``, pair by pair."""
+    most = max(np.abs(q).max(initial=0).item(), np.abs(x).max(initial=0).item())
+    if most * most * q.shape[1] < 1 << 53:  # sums that doubles hold exactly
+        return np.concatenate([np.einsum("pd,pd->p", q[a : a + 8192].astype(np.float64), x[a : a + 8192].astype(np.float64)) for a in range(0, len(q), 8192)] or [np.empty(0)]).astype(np.int64)
+    return np.array([sum(a * b for a, b in zip(u, v, strict=True)) for u, v in zip(q.tolist(), x.tolist(), strict=True)], object)
+
+
+class Chunk:
+    """Candidates in memory, with their statistics at each resolution."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, axes: np.ndarray):
+        self.ids, self.x, self.axes = ids, x, axes
+        y = x.astype(np.float64) @ axes
+        self.fine = sorted({int(x.shape[1] * share) for share in FINE})
+        self.stats = [bounds(y, f) for f in self.fine]
+        self.norms = np.linalg.norm(y, axis=1)
+        self.survivors = 0
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, score) of each query's k best that reach its bar (-inf: none)."""
+        z = q.astype(np.float64) @ self.axes
+        stats, norms, bars = [bounds(z, f) for f in self.fine], np.linalg.norm(z, axis=1), bars.astype(np.float64).copy()
+        rows, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        for a in range(0, len(self.ids), COLUMNS):
+            r, c = self._reaching(q_ids, q, z, stats, norms, bars, slice(a, a + COLUMNS), k)
+            rows, ids, score = np.concatenate((rows, r)), np.concatenate((ids, self.ids[c])), np.concatenate((score, exact(q[r], self.x[c])))
+            self.survivors += len(r)
+            order = np.lexsort((ids, -score, rows))
+            rows, ids, score = rows[order], ids[order], score[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            last = place == k - 1
+            bars[rows[last]] = np.maximum(bars[rows[last]], score[last].astype(np.float64))
+            rows, ids, score = rows[place < k], ids[place < k], score[place < k]
+        return rows, ids, score
+
+    def _reaching(self, q_ids: np.ndarray, q: np.ndarray, z: np.ndarray, stats: list[np.ndarray], norms: np.ndarray, bars: np.ndarray, cols: slice, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose bounds reach the bars at every resolution."""
+        margin = 1e-9 * (1 + norms[:, None] * self.norms[None, cols])
+        alive = q_ids[:, None] != self.ids[None, cols]
+        pairs: tuple[np.ndarray, np.ndarray] | None = None
+        for no, (u, v) in enumerate(zip(stats, self.stats, strict=True)):
+            if pairs is None:
+                up = u @ v[cols].T + margin
+                up[~alive] = -np.inf
+                if no == 0 and up.shape[1] > k and np.isneginf(bars).any():
+                    # Exact scores of the most promising give a bar where there is none.
+                    best = u if len(stats) == 1 else stats[-1]
+                    near = best @ self.stats[-1][cols].T
+                    near[~alive] = -np.inf
+                    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    got = exact(np.repeat(q, k, axis=0), self.x[cols][top.ravel()]).astype(np.float64).reshape(len(q), k)
+                    got[~np.take_along_axis(alive, top, 1)] = -np.inf
+                    bars[:] = np.maximum(bars, got.min(1))
+                # A bar is a rounded score where scores are beyond 2 ** 53.
+                alive &= up >= bars[:, None] - 1e-9 * np.abs(np.where(np.isneginf(bars), 0, bars))[:, None]
+                if alive.sum() < SPARSE * alive.size:
+                    pairs = np.nonzero(alive)
+            else:
+                r, c = pairs
+                up = np.concatenate([np.einsum("pd,pd->p", u[r[i : i + 8192]], v[cols][c[i : i + 8192]]) for i in range(0, len(r), 8192)] or [np.empty(0)]) + margin[r, c]
+                keep = up >= bars[r] - 1e-9 * np.abs(bars[r])
+                pairs = r[keep], c[keep]
+        r, c = np.nonzero(alive) if pairs is None else pairs
+        return r, c + (cols.start or 0)
+
+
+def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By length of vector, the principal axes of all rows as columns, largest first; sums of fixed size reach the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                for d, part in by_length(b):
+                    x = vectors(part.column("v"), d)
+                    sums[d] = sums.get(d, 0) + x.T.astype(np.float64) @ x
+        yield as_batch(sums)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for d, g in zip(b.column("dim").to_pylist(), b.column("gram"), strict=True):
+                sums[d] = sums.get(d, 0) + np.frombuffer(g.as_buffer(), np.float64)
+        yield as_batch(sums)
+
+    def as_batch(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["dim", "gram"])
+
+    parts = rows.select(F.size("v").alias("dim"), "v").mapInArrow(partial, "dim int, gram binary")
+    got = parts.repartition(16, "dim", F.spark_partition_id() % 16).mapInArrow(total, "dim int, gram binary").collect()
+    grams: dict[int, np.ndarray] = {}
+    for r in got:
+        grams[r["dim"]] = grams.get(r["dim"], 0) + np.frombuffer(r["gram"], np.float64)
+    return {d: np.linalg.eigh(g.reshape(d, d))[1][:, ::-1].copy() for d, g in grams.items()}
+
 
+def vectors(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, segments=SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best within a block, and of ties to drop later by id."""
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    margin = 1e-9 * (1 + np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(xf, axis=1)[None, :])
-    other = q_ids[:, None] != ids[None, :]
-    least = np.full(len(q), -np.inf)
-    alive = other.copy()
-    for s in segments:
-        up = bounds(qf, s) @ bounds(xf, s).T + margin
-        up[~alive] = -np.inf
-        if x.shape[0] > k:  # exact scores of the k most promising give the bar for the rest
-            top = np.argpartition(-up, k - 1, axis=1)[:, :k]
-            exact = np.einsum("qd,qkd->qk", q, x[top]).astype(np.float64)
-            exact[~np.take_along_axis(alive, top, 1)] = -np.inf
-            least = np.maximum(least, exact.min(1))
-        alive &= up >= least[:, None]
-    rows, cols = np.nonzero(alive)
-    score = np.empty(len(rows), np.int64)
-    for a in range(0, len(rows), 1 << 16):
-        score[a : a + (1 << 16)] = np.einsum("pd,pd->p", q[rows[a : a + (1 << 16)]], x[cols[a : a + (1 << 16)]])
-    order = np.lexsort((ids[cols], -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cols[keep], score[keep]
-
-
-def blocked(rows: DataFrame, size: int, n: int) -> DataFrame:
-    """Rows packed into about n / size blocks by a hash of the id and its content: (dim, block, ids, vecs)."""
-    blocks = max(1, -(-n // size))
-    at = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-    # A block is bounded: about ``size`` rows, whatever the table's size.
-    return rows.groupBy(F.size("v").alias("dim"), at.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vecs"))
-
-
-def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+
+def by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = b.column("dim").to_numpy()
+    cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(dims[x]), b.slice(x, y - x)
+
+
+def passed(candidates: DataFrame, queries: DataFrame, axes, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each chunk (dim, chunk, id, v) that reach the bars of the ``queries`` sent to it."""
+    rows = candidates.select("dim", "chunk", F.lit(0).alias("turn"), "id", F.lit(None).cast("double").alias("bar"), "v").unionAll(queries.select("dim", "chunk", F.lit(1).alias("turn"), "id", "bar", "v"))
+    rows = rows.repartition("dim", "chunk").sortWithinPartitions("dim", "chunk", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, chunk = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k0, k1, turns = (b.column(c).to_numpy() for c in ("dim", "chunk", "turn"))
+            cuts = [0, *(np.flatnonzero((k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]) | (turns[1:] != turns[:-1])) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                part, now = b.slice(s, e - s), (int(k0[s]), int(k1[s]))
+                if now != key:
+                    key, held, chunk = now, [], None
+                ids, x = part.column("id").to_numpy(), vectors(part.column("v"), now[0])
+                if turns[s] == 0:
+                    held.append((ids, x))
+                    continue
+                if chunk is None and held:
+                    chunk = Chunk(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), axes.value[now[0]])
+                    held = []
+                bars = part.column("bar").to_numpy(zero_copy_only=False).astype(np.float64)
+                bars = np.where(np.isnan(bars), -np.inf, bars)
+                for i in range(0, len(ids) if chunk is not None else 0, QUERIES):
+                    r, c, score = chunk.best(ids[i : i + QUERIES], x[i : i + QUERIES], bars[i : i + QUERIES], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + QUERIES][r], pa.int64()), pa.array(c, pa.int64()), pa.array(score.tolist(), pa.int64())], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors_: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best others of every row whose id is divisible by ``query_every``."""
     v = F.transform(F.col(vec), lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
-    rows = vectors.where(usable(F.col(vec)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
-    rows = written(rows, "vectors")
-    stat = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % query_every == 0).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
-    if stat["most"] is not None and stat["most"] >= LARGEST:
-        raise ValueError("components beyond 2**26 would overflow the integer scores")
-    asked = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    queries = blocked(asked, QUERY_BLOCK, stat["q"]).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    q_blocks = max(1, -(-stat["q"] // QUERY_BLOCK))
-    # The stated queries meet all rows block by block: an equal join on the query block's number.
-    candidates = blocked(rows, CANDIDATE_BLOCK, stat["n"]).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    pairs = candidates.join(queries, ["dim", "q_block"]).select("dim", "ids", "vecs", "q_ids", "q_vecs")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                take = lambda c: np.asarray(b.column(c)[i].values)  # noqa: E731, B023
-                d = b.column("dim")[i].as_py()
-                ids, q_ids = take("ids"), take("q_ids")
-                r, c, s = best_of_block(q_ids, take("q_vecs").reshape(-1, d), ids, take("vecs").reshape(-1, d), k)
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[r], "vec_id": ids[c], "score": s})
-
-    best = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+    rows = vectors_.where(usable(F.col(vec)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    # Places are fixed once they are written; they deal out equal rows as evenly as others.
+    rows = written(rows.withColumns({"dim": F.size("v"), "place": F.monotonically_increasing_id()}), "vectors")
+    size = min(CHUNK, max(LEAST_CHUNK, rows.known_rows // CHUNKS))
+    n = max(1, -(-rows.known_rows // size))
+    axes = rows.sparkSession.sparkContext.broadcast(principal_axes(rows))
+    deal = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    candidates = rows.select("dim", deal("place").alias("chunk"), "id", "v")
+    asked = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x")).select("id", "x.v", "x.dim")
+    none = F.lit(None).cast("double").alias("bar")
+    first = passed(candidates, asked.select("dim", deal("id").alias("chunk"), "id", none, "v"), axes, k)
+    first = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("bar")).where(F.col("n") == k).select(F.col("query_id").alias("id"), "bar")
+    queries = written(asked.join(first, "id", "left"), "queries")
+    everywhere = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"), "id", "bar", "v")
+    best = passed(candidates, everywhere, axes, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+    forget(rows, queries)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
