@@ -1,18 +1,22 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors (operator 3).
 
-A text's terms are what its make-up shows in any language: pairs of character
+A text's terms are its words, hashed into ``WORDS`` buckets, and, as further columns, what its make-up
+shows in any language: pairs of character
 classes (runs of letters, digits or space count once; every mark is its own
 class), words equal to the word before, words seen before in the text, and new
 words.  Terms are weighted by the square root of their share of the text times
 idf.  From a bounded sample of labelled texts that are not held out (at most
-``SAMPLE`` a class) comes a truncated SVD; the sample's latent vectors, a bounded
+``SAMPLE`` a class) comes a randomised truncated SVD with ``POWER`` power steps; the sample's latent vectors, a bounded
 matrix, are broadcast.  Every document is then projected and multiplied, block by
 block, with all of them: exact cosines.  The ``K`` nearest vote for their labels,
-weighted by cosine to the power ``SHARPNESS``.
+weighted by cosine to the power ``SHARPNESS`` and by how many labelled texts of its class a sampled one
+stands for, so that scores don't drift as the table outgrows the sample.
 
-Defined results: null and empty texts score 0; so do all if no labels are there.
+Defined results: null and empty texts score 0; so do all if no labels are there;
+an empty table gives no rows.
 A null doc_id counts as held out.  Repeated rows score alike; ties among
-neighbours go by their order in the sample, which their ids fix.  Only doc_id,
+neighbours go by their order in the sample, which their ids fix.  Very long texts
+are scored whole, one in memory at a time.  Only doc_id,
 text and the label are read.
 """
 
@@ -30,7 +34,11 @@ from . import words
 from .common import held_out, labelled_sample, table
 
 SAMPLE = 2000
-DIMENSIONS = 24
+DIMENSIONS = 32
+OVERSAMPLE, POWER = 16, 3
+WORDS = 2048
+#: The words' part of a text's squared length.
+WORD_SHARE = 0.25
 K = 15
 SHARPNESS = 8
 THRESHOLD = 0.3
@@ -45,7 +53,8 @@ _CLASS[ord("0") : ord("9") + 1] = _DIGIT
 _CLASS[:33] = _SPACE
 _CLASS[ord("\n")] = _LINE
 _CLASS[_MARKS] = np.arange(5, CLASSES)
-TERMS = CLASSES * CLASSES + 3
+MAKE_UP = CLASSES * CLASSES + 3
+TERMS = MAKE_UP + WORDS
 
 
 def terms(text: bytes | None) -> np.ndarray:
@@ -60,8 +69,9 @@ def terms(text: bytes | None) -> np.ndarray:
     h = words.hashes(text)
     repeated = int((h[1:] == h[:-1]).sum())
     new = len(np.unique(h))
-    out[:-3] = pairs / max(1, pairs.sum())
-    out[-3:] = np.array([repeated, len(h) - new, new]) / max(1, len(h))
+    out[: MAKE_UP - 3] = pairs / max(1, pairs.sum())
+    out[MAKE_UP - 3 : MAKE_UP] = np.array([repeated, len(h) - new, new]) / max(1, len(h))
+    out[MAKE_UP:] = WORD_SHARE * np.bincount((h >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64), minlength=WORDS) / max(1, len(h))
     return np.sqrt(out)
 
 
@@ -70,11 +80,22 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """By row the places of the ``k`` largest, of equal ones the first."""
+    k = min(k, cos.shape[1])
+    out = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cos, out, 1).min(1)
+    for i in np.flatnonzero((cos >= least[:, None]).sum(1) > k):
+        out[i] = np.argsort(-cos[i], kind="stable")[:k]
+    return out
+
+
 @dataclass
 class Model:
     projection: np.ndarray  # TERMS x dimensions, idf within
     vectors: np.ndarray  # labelled rows of unit length
     labels: np.ndarray
+    weights: np.ndarray  # how many labelled texts a row stands for
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return unit_rows(x @ self.projection)
@@ -84,22 +105,29 @@ class Model:
         if not len(self.labels):
             return np.zeros(len(x))
         cos = self.project(x) @ self.vectors.T
-        k = min(K, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.clip(np.take_along_axis(cos, near, 1), 0, None).astype(np.float64) ** SHARPNESS
+        near = nearest(cos, K)
+        w = np.clip(np.take_along_axis(cos, near, 1), 0, None).astype(np.float64) ** SHARPNESS * self.weights[near]
         total = w.sum(1)
         votes = (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
         return np.where(x.any(1), np.clip(votes, 0, 1), 0.0)
 
 
-def learn(x: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+def leading_vectors(a: np.ndarray, dimensions: int) -> np.ndarray:
+    """About the leading right singular vectors of ``a``, as columns: range sketch, power steps, projection, exact SVD of the small rest."""
+    y = a @ np.random.default_rng(20240612).standard_normal((a.shape[1], dimensions + OVERSAMPLE), np.float32)
+    for _ in range(POWER):
+        y = a @ (a.T @ np.linalg.qr(y)[0])
+    q = np.linalg.qr(y)[0]
+    return np.linalg.svd(q.T @ a, full_matrices=False)[2][:dimensions].T
+
+
+def learn(x: np.ndarray, labels: np.ndarray, totals: tuple[int, int] | None = None, dimensions: int = DIMENSIONS) -> Model:
+    """A model from term rows and their labels; totals: how many texts of label 0 and 1 they stand for."""
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    a = unit_rows(x * idf)
-    gram = a.T.astype(np.float64) @ a
-    _, v = np.linalg.eigh(gram)
-    top = v[:, ::-1][:, :dimensions].astype(np.float32)
-    projection = idf[:, None] * top
-    return Model(projection, unit_rows(x @ projection).astype(np.float32), labels.astype(np.float64))
+    projection = idf[:, None] * leading_vectors(unit_rows(x * idf), dimensions)
+    sizes = [max(1, int((labels == c).sum())) for c in (0, 1)]
+    weights = np.array([t / s for t, s in zip(totals or sizes, sizes, strict=True)])
+    return Model(projection, unit_rows(x @ projection).astype(np.float32), labels.astype(np.float64), weights[labels.astype(int)])
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -114,10 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
 
     got = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x binary").toArrow()
     if not got.num_rows:
-        return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
     got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, TERMS)
-    return learn(x, np.array(got.column("label").to_pylist()))
+    totals = dict(labels.where(~held_out(F.col("doc_id").cast("long")) & F.col("quality").isin(0, 1)).groupBy(F.col("quality").cast("int")).count().collect())
+    return learn(x, np.array(got.column("label").to_pylist()), (totals.get(0, 0), totals.get(1, 0)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -224,13 +224,39 @@ def test_automaton_is_the_edit_distance():
 
 def test_quality_votes_are_exact():
     rng = np.random.default_rng(3)
-    m = quality.Model(np.eye(quality.TERMS, 8, dtype=np.float32), quality.unit_rows(rng.normal(size=(50, 8))).astype(np.float32), rng.integers(0, 2, 50).astype(float))
+    v = quality.unit_rows(rng.normal(size=(50, 8))).astype(np.float32)
+    v[30:] = v[10:30]  # ties
+    m = quality.Model(np.eye(quality.TERMS, 8, dtype=np.float32), v, rng.integers(0, 2, 50).astype(float), rng.random(50) + 0.5)
     x = rng.random((20, quality.TERMS)).astype(np.float32)
     for row, got in zip(x, m.scores(x)):
-        cos = m.vectors @ (row[:8] / np.linalg.norm(row[:8]))
-        near = np.argsort(-cos)[: quality.K]
-        w = np.clip(cos[near], 0, None).astype(float) ** quality.SHARPNESS
+        cos = m.project(row[None]) @ m.vectors.T
+        near = sorted(range(50), key=lambda i: (-cos[0, i], i))[: quality.K]
+        w = np.clip(cos[0, near], 0, None).astype(float) ** quality.SHARPNESS * m.weights[near]
         assert math.isclose(got, (w * m.labels[near]).sum() / w.sum(), rel_tol=1e-3, abs_tol=1e-5)
+    cos = np.array([[0.5, 0.7, 0.5, 0.5, 0.9], [0.1, 0.1, 0.1, 0.1, 0.1]], np.float32)
+    assert [sorted(r) for r in quality.nearest(cos, 3).tolist()] == [[0, 1, 4], [0, 1, 2]]
+
+
+def test_quality_svd():
+    rng = np.random.default_rng(4)
+    a = (rng.normal(size=(200, 40)) * 0.8 ** np.arange(40)).astype(np.float32)
+    v, exact = quality.leading_vectors(a, 8), np.linalg.svd(a, full_matrices=False)[2][:8].T
+    assert np.allclose(np.abs((v * exact).sum(0)), 1, atol=1e-3)
+
+
+def test_quality_end_to_end(spark):
+    """The query against the same model made in one process."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    ids = [i for i in sorted(labels) if i in docs and not out[i]]
+    x = lambda i: quality.terms((docs[i] or "").encode())
+    m = quality.learn(np.stack([x(i) for i in ids]), np.array([labels[i] for i in ids]), tuple(sum(labels[i] == c for i in labels if zlib.crc32(str(i).encode()) % 5) for c in (0, 1)))
+    rows = quality.query(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        want = float(m.scores(x(r["doc_id"])[None])[0])
+        assert r["held_out"] == out[r["doc_id"]] and math.isclose(r["score"], want, abs_tol=0.02) and r["predicted"] == (r["score"] >= 0.3)
 
 
 def test_decontamination(spark):
