@@ -5,7 +5,8 @@ Candidate strings (runs over a character class) that the patterns leave over
 are then tested by the Shannon entropy of a sliding window: counts per
 character move along by one in and one out, and the sum of c*log2(c) is
 updated from the two counts that change, so a step doesn't recount its window.
-Windows at or above the class's threshold join into a span.  Candidates that an
+Windows at or above the class's threshold that touch join into a span, so what
+lies between hot stretches of a candidate is no part of one.  Candidates that an
 allow-list pattern fits (UUID-like ids, digests named by their algorithm, long
 runs of one character, words without digits) are suppressed; base spans are not.
 
@@ -13,7 +14,9 @@ Offsets count code points; ends are exclusive.  A span is the whole match.
 
 Defined results: null text is empty text, with no spans and the digest of "".
 Spans of several kinds may overlap; an entropy span that lies within a base span
-is left out.  Repeated rows each get their result; only named columns are read.
+is left out.  Repeated rows each get their result; only named columns are read; an
+empty table gives no rows.  Long texts and candidates are scanned whole, in time
+proportional to their length; masking takes a pass over the text for each of its spans.
 ``scan`` puts its columns in place of any of the same names (those and ``_`` with
 a kind's name); ``redacted`` keeps every column, whatever its name.
 """
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folds import collected
 from .common import let, table
 
 
@@ -87,29 +91,29 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+        start = acc["state"] + F.length(x["gap"])
         end = start + F.length(x["whole"])
         hit = F.array(F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("s")))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("state"), F.when(F.length(x["part"]) >= least, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), collected(zipped, F.lit(0), none, step, lambda a: a["out"])).otherwise(none)
 
 
 def _weight(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_range(s: Column, cls: EntropyClass) -> Column:
-    """(from, to) offsets in ``s`` over the windows whose entropy reaches ``cls.bits``; nulls if none does."""
+def hot_ranges(s: Column, cls: EntropyClass) -> Column:
+    """Array of (from, to) offsets in ``s``: the windows whose entropy reaches ``cls.bits``, those that touch joined."""
     w, size = cls.window, len(cls.alphabet)
-    code = lambda i: F.instr(F.lit(cls.alphabet), F.substring(s, i, F.lit(1))) - 1
     # Entropy of a full window is log2(w) - sum(c log2 c) / w.
     most = w * (F.log2(F.lit(float(w))) - cls.bits)
-    zero = F.struct(F.array_repeat(F.lit(0), size).alias("c"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"))
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    zero = F.struct(F.array_repeat(F.lit(0), size).alias("c"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), none.alias("out"))
+    open_ = lambda acc: F.array(F.struct(acc["from"].alias("from"), acc["to"].alias("to")))
 
     def moved(acc: Column, i: Column, x: Column) -> Column:
         """One step: character code ``new`` comes in, ``old`` (-1: none) goes out."""
@@ -117,12 +121,26 @@ def hot_range(s: Column, cls: EntropyClass) -> Column:
         n_new, n_old = F.get(acc["c"], new), F.get(acc["c"], F.greatest(old, F.lit(0)))
         change = F.when(old == new, 0.0).otherwise(_weight(n_new + 1) - _weight(n_new) + F.when(old >= 0, _weight(n_old - 1) - _weight(n_old)).otherwise(0.0))
         counts = F.when(old == new, acc["c"]).otherwise(F.transform(acc["c"], lambda c, j: c + F.when(j == new, 1).when(j == old, -1).otherwise(0)))
-        return let(acc["sum"] + change, lambda total: let((i >= w) & (total <= most + 1e-9), lambda hit: F.struct(counts.alias("c"), total.alias("sum"), F.when(hit & acc["from"].isNull(), i - w).otherwise(acc["from"]).alias("from"), F.when(hit, i).otherwise(acc["to"]).alias("to"))))
 
-    def step(acc: Column, i: Column) -> Column:
-        return let(F.struct(code(i).alias("new"), F.when(i > w, code(i - w)).otherwise(F.lit(-1)).alias("old")), lambda x: moved(acc, i, x))
+        def ended(total: Column, hit: Column) -> Column:
+            apart = hit & (acc["to"].isNull() | (i - w > acc["to"]))
+            return F.struct(
+                counts.alias("c"), total.alias("sum"), F.when(apart, i - w).otherwise(acc["from"]).alias("from"), F.when(hit, i).otherwise(acc["to"]).alias("to"),
+                F.when(apart & acc["to"].isNotNull(), F.concat(acc["out"], open_(acc))).otherwise(acc["out"]).alias("out"),
+            )
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda a: F.struct(a["from"].alias("from"), a["to"].alias("to")))
+        return let(acc["sum"] + change, lambda total: let((i >= w) & (total <= most + 1e-9), lambda hit: ended(total, hit)))
+
+    def over(codes: Column) -> Column:
+        """``codes``: the characters' places in the alphabet, so that a step finds its two at once however long the candidate is."""
+
+        def step(acc: Column, i: Column) -> Column:
+            return let(F.struct(F.get(codes, i - 1).alias("new"), F.when(i > w, F.get(codes, i - 1 - w)).otherwise(F.lit(-1)).alias("old")), lambda x: moved(acc, i, x))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda a: F.when(a["to"].isNull(), a["out"]).otherwise(F.concat(a["out"], open_(a))))
+
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    return let(F.transform(chars, lambda c: F.instr(F.lit(cls.alphabet), c) - 1), over)
 
 
 def entropy_spans(text: Column, cls: EntropyClass, base: Column, allow: tuple[str, ...] = ALLOW) -> Column:
@@ -130,9 +148,8 @@ def entropy_spans(text: Column, cls: EntropyClass, base: Column, allow: tuple[st
     found = matches(text, cls.pattern, 0, cls.window)
     found = F.filter(found, lambda x: ~F.lit(False) if not allow else ~_any([x["s"].rlike(p) for p in allow]))
     found = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    hot = F.transform(found, lambda x: F.struct(x["start"].alias("at"), hot_range(x["s"], cls).alias("r"), x["s"].alias("s")))
-    hot = F.filter(hot, lambda x: x["r"]["to"].isNotNull())
-    spans = F.transform(hot, lambda x: F.struct((x["at"] + x["r"]["from"]).alias("start"), (x["at"] + x["r"]["to"]).alias("end"), F.substring(x["s"], x["r"]["from"] + 1, x["r"]["to"] - x["r"]["from"]).alias("s")))
+    part = lambda x, r: F.struct((x["start"] + r["from"]).alias("start"), (x["start"] + r["to"]).alias("end"), F.substring(x["s"], r["from"] + 1, r["to"] - r["from"]).alias("s"))
+    spans = F.flatten(F.transform(found, lambda x: F.transform(hot_ranges(x["s"], cls), lambda r: part(x, r))))
     return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
 
 

@@ -384,11 +384,67 @@ def test_window_entropy(spark):
     def entropy(s):
         return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
 
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", secrets.hot_range(F.col("s"), cls).alias("r")).collect()
+    hot = "q7Lx0Zp3Vn8Rk2Wd5Ty9Bm4H"
+    texts += [hot + "a" * 60 + hot[::-1], hot + "aaa" + hot]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", secrets.hot_ranges(F.col("s"), cls).alias("r")).collect()
     for r in rows:
         t, w = texts[r["i"]], cls.window
-        hot = [i for i in range(len(t) - w + 1) if entropy(t[i : i + w]) >= cls.bits - 1e-9]
-        assert (r["r"]["from"], r["r"]["to"]) == ((hot[0], hot[-1] + w) if hot else (None, None))
+        want = []
+        for i in [i for i in range(len(t) - w + 1) if entropy(t[i : i + w]) >= cls.bits - 1e-9]:
+            if want and i <= want[-1][1]:
+                want[-1][1] = i + w
+            else:
+                want.append([i, i + w])
+        assert [[x["from"], x["to"]] for x in r["r"]] == want, t
+    assert len(rows[-2]["r"]) == 2
+
+
+def test_secrets_of_a_table(spark):
+    """The query's base columns and entropy spans against a scan of every whole text in Python."""
+    order = [k.name for k in (*secrets.BASE, *secrets.CLASSES)]
+    java = lambda p: re.compile(p.replace("]++", "]+").replace("}+", "}").replace("++", "+"))
+    allow = [java(p.replace("(?i)", "", 1)) if not p.startswith("(?i)") else re.compile(p[4:], re.IGNORECASE) for p in secrets.ALLOW]
+    classes = [(c, java(c.pattern.replace("(?i:", "(?i:"))) for c in secrets.CLASSES]
+
+    def entropy(x):
+        return -sum(x.count(c) / len(x) * math.log2(x.count(c) / len(x)) for c in set(x))
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = secrets.query(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        text, base, more = docs[r["doc_id"]], [], []
+        for k in secrets.BASE:
+            base += [(m.start(), order.index(k.name), m.end()) for m in re.finditer(k.pattern, text) if len(m[k.group]) >= k.least]
+        held = lambda a, b: any(x <= a and b <= y for x, _, y in base)  # noqa: E731, B023
+        for cls, rx in classes:
+            for m in rx.finditer(text):
+                if len(m[0]) < cls.window or held(*m.span()) or any(p.search(m[0]) for p in allow):
+                    continue
+                at = []
+                for i in range(len(m[0]) - cls.window + 1):
+                    if entropy(m[0][i : i + cls.window]) >= cls.bits - 1e-9:
+                        if at and i <= at[-1][1]:
+                            at[-1][1] = i + cls.window
+                        else:
+                            at.append([i, i + cls.window])
+                more += [(m.start() + a, order.index(cls.name), m.start() + b) for a, b in at if not held(m.start() + a, m.start() + b)]
+        line = lambda xs: ",".join(f"{order[k]}:{a}:{b}" for a, k, b in sorted(xs))
+        assert r["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest() and r["spans"] == line(base + more)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+
+
+def test_long_candidates_and_many_matches(spark):
+    import time
+
+    rng = random.Random(17)
+    blob = "".join(rng.choice("ABCDEFghijkl0123456789+/") for _ in range(60_000))
+    texts = [f"x {blob} y", "token=abcdefgh " * 20_000, "\n" * 1_000_000, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.scan(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got[0]["n"] >= 1 and got[1]["n"] == 20_000 and got[2]["n"] == got[3]["n"] == got[4]["n"] == 0 and time.perf_counter() - began < 60
+    assert secrets.scan(df.limit(0)).count() == 0
 
 
 def test_warc_reader():
