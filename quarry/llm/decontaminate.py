@@ -90,11 +90,16 @@ def with_zero(table: np.ndarray) -> np.ndarray:
     return np.concatenate((table, np.zeros((1, table.shape[1]), table.dtype)))
 
 
+def padded(term: np.ndarray, size: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """The stretches of ``size`` that ``term`` consists of, a row each."""
+    at = np.full(len(size) * width, fill)
+    at[np.arange(len(term)) + np.repeat(np.arange(len(size)) * width - (np.cumsum(size) - size), size)] = term
+    return at.reshape(len(size), width)
+
+
 def row_sums(table: np.ndarray, term: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The sums of the rows of ``table`` (its last one zeros) at each of the stretches that ``term`` consists of; their sizes are at most ``width``."""
-    at = np.full(len(size) * width, len(table) - 1)
-    at[np.arange(len(term)) + np.repeat(np.arange(len(size)) * width - (np.cumsum(size) - size), size)] = term
-    return (np.ones((1, width), table.dtype) @ table.take(at, axis=0).reshape(len(size), width, -1))[:, 0]
+    return (np.ones((1, width), table.dtype) @ table.take(padded(term, size, width, len(table) - 1), axis=0))[:, 0]
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -110,7 +115,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                     continue
                 column, sign = (r % np.uint64(SKETCH)).astype(np.int64), np.where(r >> np.uint64(63), 1.0, -1.0)
                 y += np.bincount(term * SKETCH + np.repeat(column, size), np.repeat(sign, size), TERMS * SKETCH)
-                df += np.bincount(np.unique(np.repeat(np.arange(len(size)), size) * TERMS + term) % TERMS, minlength=TERMS)
+                # A passage's buckets in order; the first of equal ones counts.
+                held = np.sort(padded(term, size, PASSAGE, TERMS).astype(np.int16), axis=1)
+                new = np.concatenate((np.ones((len(held), 1), bool), held[:, 1:] != held[:, :-1]), axis=1)
+                df += np.bincount(held[new], minlength=TERMS + 1)[:TERMS]
                 n += len(size)
         y = y.astype(np.int32).reshape(chunks, -1)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(chunks), pa.int32()), "sketch": [x.tobytes() for x in y], "df": [x.tobytes() for x in df.reshape(chunks, -1)], "passages": pa.array([n] * chunks, pa.int64())})
@@ -213,6 +221,12 @@ class Benchmark:
 
     def __post_init__(self) -> None:
         self.table = with_zero(self.space.rows)
+        #: The items' rare words by number, and for each item the numbers of its own.
+        self.words = np.unique(np.array([w for x in self.items for w in x.rare_words], np.uint64))
+        self.known = np.zeros(1 << 16, bool)
+        self.known[(self.words >> np.uint64(48)).astype(np.int64)] = True
+        self.own = [frozenset(np.searchsorted(self.words, np.array(list(x.rare_words), np.uint64)).tolist()) for x in self.items]
+        self.least = [min(x.least_rare, x.least_paired) for x in self.items]
         self.vectors = np.stack([x.vector for x in self.items]).astype(np.float32) if self.items else np.zeros((0, 1), np.float32)
         self.enough = COSINE * np.sqrt([x.n for x in self.items])  # over the root of the window's length
 
@@ -291,10 +305,9 @@ def kept_pairs(item: Item, text: list[int]) -> tuple[float, float]:
     return sum(p in near for p in zip(w, w[1:], strict=False)) / max(1, item.n - 1), sum(x in there for x in tail) / len(tail)
 
 
-def confirmed(item: Item, text: list[int], there: set[int] | None = None) -> float:
-    """The share of the item's words that ``text`` (``there``: its words) has in sequence, if that confirms the item; else 0."""
-    there = set(text) if there is None else there
-    shared = len(item.rare_words & there)
+def confirmed(item: Item, text: list[int]) -> float:
+    """The share of the item's words that ``text`` has in sequence, if that confirms the item; else 0."""
+    shared = len(item.rare_words & set(text))
     if shared < item.least_rare and shared < item.least_paired:
         return 0.0
     places = common_subsequence(item, text)
@@ -403,24 +416,37 @@ def matches_of(texts: list[np.ndarray], bench: Benchmark) -> list[dict[int, floa
     """By text of word hashes, the items found in it by their numbers, with their share of words in sequence."""
     out: list[dict[int, float]] = [dict.fromkeys(found_runs(h, bench), 1.0) for h in texts]
 
-    def check(no: int, low: int, high: int, items: list[int]) -> None:
-        text = texts[no][low:high].tolist()
-        there = set(text)
-        for k in items:
-            if out[no].get(k) != 1.0:
-                share = confirmed(bench.items[k], text, there)
-                if share:
-                    out[no][k] = max(out[no].get(k, 0.0), share)
+    def check(no: int, low: int, high: int, k: int) -> None:
+        if out[no].get(k) != 1.0:
+            share = confirmed(bench.items[k], texts[no][low:high].tolist())
+            if share:
+                out[no][k] = max(out[no].get(k, 0.0), share)
 
     if bench.classes:
-        for at in near_windows(texts, bench):
-            check(*at)
+        begin = np.cumsum([0, *map(len, texts)]).tolist()
+        place, number = known_words(np.concatenate(texts), bench)
+        own, least = bench.own, bench.least
+        for no, low, high, items in near_windows(texts, bench):
+            a, b = np.searchsorted(place, (begin[no] + low, begin[no] + high))
+            there = set(number[a:b].tolist())
+            for k in items:
+                # Less than what any rule asks for needs no closer look.
+                if len(own[k] & there) >= least[k]:
+                    check(no, low, high, k)
         for no, h in enumerate(texts):
             for k, low, high in covering_windows(h, bench):
-                check(no, low, high, [k])
+                check(no, low, high, k)
     return out
 
 
+def known_words(h: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``h`` has one of the items' rare words, and its number."""
+    at = np.flatnonzero(bench.known[(h >> np.uint64(48)).astype(np.int64)]) if len(bench.words) else np.empty(0, np.int64)
+    j = np.minimum(np.searchsorted(bench.words, h[at]), max(0, len(bench.words) - 1))
+    same = bench.words[j] == h[at]
+    return at[same], j[same]
+
+
 def matches(h: np.ndarray, bench: Benchmark) -> dict[int, float]:
     """The items found in a text, as ``matches_of`` has them."""
     return next(found([h], bench))
