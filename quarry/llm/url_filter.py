@@ -7,25 +7,28 @@ that no rule fits.  Precedence within a component: a URL's own rule; else
 allow, if any URL of the component has an allow rule; else block, if any has a
 block rule; else allow.
 
-Edges come from ``<link rel=canonical href=...>`` and ``<meta
-http-equiv=refresh content="0; url=...">`` in the HTML, from any part of it,
-and from an optional redirect table.  Absolute, scheme-relative and
-root-relative targets are resolved; others name no host and are no edge.
+Edges come from ``<link rel=canonical href=...>``, canonical being any of its rel
+values, and ``<meta http-equiv=refresh content="0; url=...">`` in the HTML, from any part of it,
+and from an optional redirect table.  Targets are resolved against the page's URL or
+its ``<base href>``, relative paths and their dot segments included; those that
+name the page itself or another scheme than one with a host are no edge.
 
 Defined results: a null URL or one without ``://`` has empty host and path,
 fits no rule, joins no component and is allowed.  Repeated rows each get
-their verdict.  Empty tables give empty results.  Only the named columns are
+their verdict.  Empty tables give empty results.  Very long pages are searched
+whole.  Rules of one length that fit alike: allow first, then by name.  Only the named columns are
 read, so extra or clashing columns do no harm.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, connected_components, table, written
+from .common import ascii_lower, connected_components, let, table, written
 
 
 @dataclass(frozen=True)
@@ -63,19 +66,46 @@ def alias_key(url: Column) -> Column:
     """A URL as a node: scheme and host lower-cased, fragment and an empty path's slash evened out; null if it has no host."""
     scheme = ascii_lower(F.regexp_extract(url, r"(?s)^\s*(.*?)://", 1))
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    rest = F.when(rest == "", F.lit("/")).otherwise(rest)
+    rest = F.when((rest == "") | rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
     return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def unescaped(c: Column) -> Column:
+    """HTML's escapes of ASCII marks, by number and by name, ``&amp;`` last."""
+    for mark in string.punctuation.replace("&", "") + "&":
+        named = {'"': "|quot", "'": "|apos", "<": "|lt", ">": "|gt", "&": "|amp"}.get(mark, "")
+        c = F.regexp_replace(c, f"(?i)&(?:#0*{ord(mark)}|#x0*{ord(mark):x}{named});", "\\$" if mark == "$" else "\\\\" if mark == "\\" else mark)
+    return c
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    pop = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), lambda a, x: F.when(x == "..", pop(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    tail = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
+
+
 def resolved(base: Column, target: Column) -> Column:
-    """``target`` as an absolute URL, where it names or inherits a host; else null."""
-    target = F.trim(F.regexp_replace(target, "&amp;", "&"))
-    scheme = F.regexp_extract(base, r"(?s)^\s*(.*?)://", 1)
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), target))
-    )
+    """``target`` as an absolute URL, seen from ``base``; null if that names no host or the base itself."""
+
+    def from_(x: Column) -> Column:
+        base, target = x["base"], x["target"]
+        root = F.concat(F.regexp_extract(base, r"(?s)^\s*(.*?)://", 1), F.lit("://"), host_of(base))
+        path, query = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)", 1)
+        folder = F.regexp_extract(F.concat(F.lit("/"), path_of(base)), r"(?s)^/(.*/|)", 1)
+        whole = F.when(path == "", path_of(base)).when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+        joined = F.concat(root, let(whole, lambda p: F.when(path == "", p).otherwise(without_dots(p))), query)
+        return (
+            F.when((target == "") | target.startswith("#") | (host_of(base) == ""), F.lit(None).cast("string"))
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^\s*(.*?:)//", 1), target))
+            .otherwise(joined)
+        )
+
+    return let(F.struct(base.alias("base"), F.trim(unescaped(target)).alias("target")), from_)
 
 
 def matched(df: DataFrame, host: str, path: str, rules: tuple[Rule, ...]) -> DataFrame:
@@ -102,12 +132,15 @@ def matched(df: DataFrame, host: str, path: str, rules: tuple[Rule, ...]) -> Dat
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): URLs and what their HTML names as canonical or refreshes to."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tags = F.filter(tags, lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b|\bhttp-equiv\s*=\s*["']?refresh\b"""))
-    found = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), F.explode(tags).alias("tag"))
+    canonical = r"""(?i)^<link\b.*\brel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)"""
+    tags = F.filter(tags, lambda t: t.rlike("(?s)" + canonical) | t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""))
+    own = F.regexp_extract(F.col(html), r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    found = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), own.alias("base"), F.explode(tags).alias("tag"))
     href = F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     fresh = F.regexp_extract("tag", r"""(?i)\bcontent\s*=\s*["']?\s*[0-9.]+\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1)
     to = F.when(F.col("tag").rlike(r"(?i)^<link"), href).otherwise(fresh)
-    return found.select("src", resolved(F.col("src"), to).alias("dst")).where("dst is not null and src is not null")
+    found = found.select("src", F.coalesce(F.when(F.col("base") != "", resolved(F.col("src"), F.col("base"))), F.col("src")).alias("base"), to.alias("to"))
+    return found.select("src", resolved(F.col("base"), F.col("to")).alias("dst")).where("dst is not null and src is not null")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -128,7 +161,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
         # Allow before block: the least of the two words.
         told = nodes.groupBy("component").agg(F.min("action").alias("told")).where("told is not null")
         told = nodes.select("node", "component").join(told, "component").select("node", "told")
-        out = own.withColumn("node", alias_key(F.col("_url"))).join(told, "node", "left")
+        # URLs that are no node get keys of their own, so that they don't come together.
+        node = F.coalesce(alias_key(F.col("_url")), F.concat(F.lit("#"), F.xxhash64("_id", "_url").cast("string")))
+        out = own.withColumn("node", node).join(told, "node", "left")
     return out.select(
         F.col("_id").alias(key), "host", "path", "rule",
         F.coalesce("action", "told", F.lit("allow")).alias("verdict"),

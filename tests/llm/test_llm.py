@@ -80,6 +80,67 @@ def test_url_decisions_reach_aliases(spark):
     assert [r["verdict"] for r in url_filter.judge(df, many).orderBy("page_id").collect()] == [x[3] for x in got]
 
 
+def test_link_targets(spark):
+    from urllib.parse import urljoin, urldefrag
+
+    bases = ["http://A.org/x/y.html?q#f", "https://a.org", "http://a.org/x/y/"]
+    targets = ["next.html", "../up", "./same?a=1", "../../../z", "?id=2", "/root/./a/../b", "//other.net/p", "https://b.com/", "a/b/..", "mailto:x@y", "#top", "x&amp;y=1", "&#47;r&#x2F;s"]
+    rows = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "b string, t string").select("b", "t", url_filter.alias_key(url_filter.resolved(F.col("b"), F.col("t"))).alias("u")).collect()
+    for r in got:
+        t = r["t"].replace("&amp;", "&").replace("&#47;", "/").replace("&#x2F;", "/")
+        want = None if t.startswith(("mailto", "#")) else urldefrag(urljoin(r["b"], t))[0].replace("A.org", "a.org")
+        want = re.sub(r"^(https?://[^/?]*)(?=[?]|$)", r"\1/", want) if want else None
+        assert r["u"] == want, (r["b"], t)
+
+
+def test_url_query_on_planted_pages(spark, tmp_path):
+    """The query against components and rules in Python, on pages with links of all kinds and one hub."""
+    from urllib.parse import urljoin
+
+    rng = random.Random(18)
+    hosts = ["a.com", "b.net", "example.com", "example.net", "c.org", "d.info", "e.info"]
+    url = lambda i: f"http://{hosts[i % 7]}/{['en', 'de', 'es', 'fr'][i % 4]}/{i}"
+    pages, edges = [], []
+    for i in range(400):
+        kind, j = rng.randrange(8), rng.randrange(400) if i % 3 else 5
+        target = {0: url(j), 1: f"{j}", 2: f"../fr/{j}"}.get(kind)
+        tag = ""
+        if target:
+            tag = f'<link href="{target}" rel="alternate canonical">' if i % 2 else f"<meta http-equiv='refresh' content='0; URL={target}'>"
+            edges.append((url(i), urljoin(url(i), target)))
+        pages.append((i, url(i) if i % 50 else None, f"<html>{tag}</html>" if i % 7 else f"<head><base href='{url(i)}'>{tag}"))
+    edges = [(a, b) for a, b in edges if int(a.rpartition("/")[2]) % 50]
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[top(a)] = top(b)
+
+    def own(u):
+        host, path = u.removeprefix("http://").partition("/")[::2]
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name)) if fits else None
+
+    told = defaultdict(set)
+    for u in list(root):
+        if own(u):
+            told[top(u)].add(own(u).action)
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = url_filter.query(spark, str(tmp_path)).collect()
+    assert len(rows) == 400 and sum(r["propagated"] for r in rows) > 20
+    for r in rows:
+        u = pages[r["page_id"]][1]
+        rule = own(u) if u else None
+        assert r["rule"] == (rule.name if rule else None)
+        assert r["verdict"] == (rule.action if rule else min(told.get(top(u), {"allow"}) if u in root else {"allow"})), r
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_attribution(rule):
     rng = random.Random(6)
