@@ -4,8 +4,8 @@
    repeating, as shares of all words; none gets more than 3 times its own words,
    and the excess is shared again by weight until none is above.
 2. Blocks: a seeded hash permutes each source's documents and cuts the order
-   into ``BLOCKS`` blocks.  A source's quota is whole passes over its blocks plus,
-   in another permutation, the blocks that fit into the rest of its target; the
+   into ``BLOCKS`` blocks.  A source's quota is whole passes over its blocks, each in a
+   permutation of its own, plus, in another, the blocks that fit into the rest of its target; the
    smallest of those that don't is cut between documents for what stays open.
 3. Splitting tree: the root holds every source's block quota.  Each node gives
    half its capacity to its left child, drawing how many blocks of each source go
@@ -19,7 +19,7 @@ Documents themselves are joined on (source, block), so a hot source spreads over
 its blocks.  Nothing depends on partitioning; reruns agree.
 
 Defined results: null text has size 0; a document of size 0 is never taken.
-Null and equal sources are groups like any other.  Null or repeated ids hash by
+Null and equal sources are groups like any other; very long texts count whole.  Null or repeated ids hash by
 id and text alike, so equal rows are taken alike, in a cut block as well.  Empty
 input gives no rows.  ``mixed`` puts its copy and shard in place of columns of
 these names; other extra columns pass through.
@@ -36,6 +36,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCKS = 256
 LEVELS = 4
+#: Ranges of a block, for the order of its documents.
+RANGES = 256
 SEED = 20240501
 
 
@@ -156,21 +158,29 @@ def plan(docs: DataFrame, blocks: int = BLOCKS, levels: int = LEVELS, seed: int
     tree = split_tree(quotas, levels, seed)
     # A block's slots: one for each pass and, if drawn again, one in the rest's permutation, which the tree takes first.
     slots = b.join(quotas.select("source_no", "n_blocks"), "source_no").withColumns({"drawn": F.sum(whole).over(Window.partitionBy("source_no")), "nth": F.sum(whole).over(Window.partitionBy("source_no").orderBy("rank")) - 1})
-    own = F.when(whole > 0, F.array(F.col("nth"))).otherwise(F.array().cast("array<bigint>"))
-    turn = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda p: F.col("drawn") + (p - 1) * F.col("n_blocks") + F.pmod(F.col("rank") + F.xxhash64(F.lit(seed), F.col("source_no"), p), F.col("n_blocks")))
-    slots = slots.select("source_no", "source", "_block", "source_size", "target", "passes", "extra", "cut", "open", F.posexplode_outer(F.concat(own.cast("array<bigint>"), F.when(F.col("passes") > 0, turn).otherwise(F.array()).cast("array<bigint>"))).alias("_no", "slot"))
+    kept = ["source_no", "source", "_block", "source_size", "target", "passes", "extra", "cut", "open"]
+    own = slots.select(*kept, F.lit(0).alias("_no"), F.when(whole > 0, F.col("nth")).alias("slot"))
+    turns = slots.where("passes > 0").select(*kept, "drawn", "n_blocks", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("_no"))
+    order = Window.partitionBy("source_no", "_no").orderBy(unit(F.lit(seed), F.lit("pass"), F.col("source_no"), F.col("_no"), F.col("_block")), "_block")
+    turns = turns.withColumn("slot", F.col("drawn") + (F.col("_no") - 1) * F.col("n_blocks") + F.row_number().over(order) - 1)
+    slots = own.unionByName(turns.select(*kept, "_no", "slot"))
     at = tree.select(F.col("source_no").alias("t_no"), "shard", "first", "n")
     slots = slots.join(at, (F.col("source_no") == F.col("t_no")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("first") + F.col("n")), "left")
-    chosen = slots.groupBy("source_no", "source", "_block", "source_size", "target", "passes", "extra", "cut", "open").agg(F.array_sort(F.collect_list(F.struct("_no", "shard"))).alias("s"))
+    chosen = slots.groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("_no", "shard"))).alias("s"))
     chosen = written(chosen.withColumn("shards", F.transform(F.filter("s", lambda x: x["shard"].isNotNull()), lambda x: x["shard"])).drop("s"), "slots")
     d, c = docs.alias("d"), chosen.alias("c")
     out = d.join(c, F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._block") == F.col("c._block"))).select("d.*", "c.source_size", "c.target", "c.source_no", "c.passes", "c.extra", "c.cut", "c.open", "c.shards")
-    # In a cut block documents come in the permutation's order while at least half of each is below the rest.
-    cut = out.where("cut")
+    # In a cut block documents come in the permutation's order while at least half of each is below the rest.  The order
+    # goes by ranges: sums of the ranges before, then an order within each.
+    cut = out.where("cut").withColumn("_range", F.floor(F.col("_u") * blocks * RANGES).cast("long"))
+    ranges = cut.groupBy("source_no", "_range").agg(F.sum("size").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("source_no").orderBy("_range")) - F.col("_sum")
+    ranges = ranges.select(F.col("source_no").alias("_s"), F.col("_range").alias("_r"), before.alias("_before"))
+    cut = cut.join(ranges, (F.col("source_no") == F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
     # Equal rows are peers: they come and go together.
-    cut = cut.withColumn("_upto", F.sum("size").over(Window.partitionBy("source_no").orderBy("_u", "doc_id", "_key")))
-    peers = F.sum("size").over(Window.partitionBy("source_no", "_u", "doc_id", "_key"))
-    cut = cut.withColumn("again", (F.col("_upto") - peers / 2.0 <= F.col("open")).cast("int")).drop("_upto")
+    cut = cut.withColumn("_upto", F.col("_before") + F.sum("size").over(Window.partitionBy("source_no", "_range").orderBy("_u", "doc_id", "_key")))
+    peers = F.sum("size").over(Window.partitionBy("source_no", "_range", "_u", "doc_id", "_key"))
+    cut = cut.withColumn("again", (F.col("_upto") - peers / 2.0 <= F.col("open")).cast("int")).drop("_upto", "_before", "_range")
     out = out.where("not cut").withColumn("again", F.col("extra")).unionByName(cut)
     # The drawn slot comes first among a block's shards; a document that the cut leaves out skips it.
     has = F.col("extra") + F.col("cut").cast("int")

@@ -12,8 +12,8 @@ after a lost executor leaves a stray file at most, never a double record.
 Defined results: null HTML is an empty payload; payloads under
 ``least`` bytes (100) are never revisits; of equal payloads the row with the
 smallest page_id is the response, null ids coming last; repeated rows with that
-same page_id are all responses.  Empty tables give no archive and no rows.
-Extra columns are not read.
+same page_id are all responses.  Empty tables give no archive and no rows.  A very
+long page is one record like others.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -195,13 +195,20 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """Rows to write: payload, its digest and size, and which response a repeat refers to.
 
     Only (digest, page_id) is grouped, with a combined minimum, and only digests
-    that occur twice come back, so no group of copies is gathered.
+    that occur twice come back, to rows of ids and digests.  Payloads travel by id
+    and digest, so the copies of a page stay apart.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    keys = rows.where(F.col("size") >= least).select("page_id", "digest")
+    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    repeats = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    repeats = repeats.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first")
+    # A missing id joins by a digest that no row has with another id.
+    key = lambda i, d: [F.coalesce(i, F.lit(0)), F.when(i.isNull(), F.concat(F.lit("null:"), d)).otherwise(d)]
+    match = [a == b for a, b in zip(key(F.col("page_id"), F.col("digest")), key(F.col("_id"), F.col("_digest")), strict=True)]
+    rows = rows.join(repeats, match, "left")
+    revisit = F.col("first").isNotNull()
     return rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 

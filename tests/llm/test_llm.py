@@ -646,6 +646,57 @@ def test_mixing(spark):
     assert mixing.plan(mixing.prepared(df.limit(0))).count() == 0
 
 
+def test_mixing_takes_disjoint_blocks(spark):
+    """Blocks' takes are theirs alone: each pass puts every block into one shard, and passes are permuted apart."""
+    rows = [(i, "w " * (1 + i % 9), "en", "abc"[min(i % 20, 2)], 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    p = mixing.plan(mixing.prepared(docs), blocks=16).collect()
+    by_block = defaultdict(set)
+    for r in p:
+        by_block[r["source"], int(r["_u"] * 16)].add(tuple(r["shards"]))
+    shards = defaultdict(list)
+    for (source, block), kinds in by_block.items():
+        # A cut block has documents with one take more; all others of a block agree.
+        assert len(kinds) <= 2 and len({k[-len(min(kinds, key=len)) :] for k in kinds if k}) <= 1
+        shards[source].append(max(kinds, key=len))
+    small = shards["a"]
+    assert {len(x) for x in small} == {3}
+    passes = [[x[-i] for x in small] for i in (1, 2, 3)]
+    assert all(a != b for a, b in zip(passes, passes[1:]))
+    # Each shard draws the same number of slots in all, give or take one a level.
+    drawn = defaultdict(int)
+    for xs in shards.values():
+        for x in xs:
+            for y in x:
+                drawn[y] += 1
+    assert len(drawn) == 16 and max(drawn.values()) - min(drawn.values()) <= 2
+
+
+def test_mixing_of_a_table(spark):
+    """The query's sizes and targets against water-filling in Python, and each source's words near its target."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    total, taken = defaultdict(int), defaultdict(int)
+    for r in docs:
+        total[r["source"]] += size[r["doc_id"]]
+    source = {r["doc_id"]: r["source"] for r in docs}
+    rows = mixing.query(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == total[source[r["doc_id"]]] and r["taken"] <= 3 * r["size"] and r["taken"] % max(1, r["size"]) == 0
+        taken[source[r["doc_id"]]] += r["taken"]
+    goal = {source[r["doc_id"]]: r["target"] for r in rows}
+    names = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight, level = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 0.0
+    low, high = 0.0, float(sum(total.values()))
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * total[s], weight[s] * level) for s in names) < sum(total.values()) else (low, level)
+    for s in names:
+        assert math.isclose(goal[s], min(3 * total[s], weight[s] * level), rel_tol=1e-6)
+        assert abs(taken[s] - goal[s]) <= max(size[i] for i in size if source[i] == s) / 2
+
+
 def test_mixing_repeated_rows_and_clashing_names(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "ab"[i % 3 == 0], 1) for i in range(300) for _ in range(1 + i % 3)]
     df = spark.createDataFrame(rows, DOCS)
