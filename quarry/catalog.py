@@ -347,7 +347,7 @@ SQL = {
     "split_summary": f"WITH {_PAIRS_SQL}, {_split_sql('document_id::VARCHAR AS id FROM pairs')}, s AS (SELECT a.id, a.split, count(*) AS c FROM pairs p JOIN assigned a ON a.id = p.document_id::VARCHAR GROUP BY ALL) SELECT count(*) AS documents, sum(c)::BIGINT AS examples, "
     + ", ".join(f"coalesce(sum(c) FILTER (split = '{s}'), 0)::BIGINT AS {s}_examples, count_if(split = '{s}')::BIGINT AS {s}_documents" for s in ("train", "validation", "test"))
     + " FROM s",
-    "split_leaks": "SELECT conv_id AS document_id, 2::BIGINT AS splits FROM conversations WHERE false",
+    "split_leaks": f"WITH {_PAIRS_SQL}, {_split_sql('document_id::VARCHAR AS id FROM pairs')} SELECT p.document_id, count(DISTINCT a.split) AS splits FROM pairs p JOIN assigned a ON a.id = p.document_id::VARCHAR GROUP BY p.document_id HAVING count(DISTINCT a.split) > 1",
     "truncated_contexts": f"SELECT doc_id, {_truncate('text', 300)} AS context FROM documents",
     "sft_messages": f"""WITH {_RECORDS_SQL}, c AS (SELECT *, {_truncate('input', 1800)} AS ctx FROM records)
       SELECT document_id::VARCHAR || ':' || pos::VARCHAR AS document_id, document_type, '{sft.SYSTEM_PROMPT}' AS system, 'user' AS user_role,

@@ -37,22 +37,33 @@ def length_percentiles(corpus: DataFrame, text: str = "text", shares: tuple[floa
 
 
 def corpus_profile(corpus: DataFrame, text: str = "text", short: int = SHORT) -> DataFrame:
-    """One row: totals, rates to 4 places, length statistics; zeros for an empty corpus."""
+    """One row: totals, rates to 4 places, length statistics; zeros for an empty corpus.
+
+    One pass counts the documents of each length; all else follows from these counts.
+    """
+    from pyspark.sql import Window
+
     rows = with_text(corpus, text).select(F.length(text).cast("long").alias("n"), (strip(F.col(text)) == "").alias("blank"))
-    stats = rows.agg(
-        F.count("*").alias("total_documents"),
-        F.count_if("blank").alias("empty_documents"),
-        F.count_if(F.col("n") < short).alias("short_documents"),
+    counts = rows.groupBy("n").agg(F.count("*").alias("c"), F.count_if("blank").alias("b"))
+    counts = counts.withColumns({"upto": F.sum("c").over(Window.orderBy("n")), "total": F.sum("c").over(Window.partitionBy())})
+
+    def at(share: float):
+        place = F.rint((F.col("total") - 1) * share).cast("long")
+        return F.coalesce(F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("c")), F.col("n"))), F.lit(0))
+
+    sum_ = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    stats = counts.agg(
+        sum_(F.col("c")).alias("total_documents"),
+        sum_(F.col("b")).alias("empty_documents"),
+        sum_(F.when(F.col("n") < short, F.col("c"))).alias("short_documents"),
         F.coalesce(F.min("n"), F.lit(0)).alias("min_length"),
         F.coalesce(F.max("n"), F.lit(0)).alias("max_length"),
-        F.coalesce(rounded(F.avg("n"), 1), F.lit(0.0)).alias("mean_length"),
-    )
+        F.coalesce(rounded(F.try_divide(F.sum(F.col("n") * F.col("c")), F.sum("c")), 1), F.lit(0.0)).alias("mean_length"),
+        at(0.5).alias("p50_length"), at(0.9).alias("p90_length"), at(0.99).alias("p99_length"),
+    )
     # A rate of no documents is 0.
-    rate = lambda c: F.when(F.col("total_documents") > 0, rounded(F.col(c) / F.col("total_documents"), 4)).otherwise(F.lit(0.0))
-    stats = stats.withColumns({"short_threshold": F.lit(short), "empty_rate": rate("empty_documents"), "short_rate": rate("short_documents")})
-    p = nearest_rank(rows.select("n"), (0.5, 0.9, 0.99))
-    of = lambda s: F.coalesce(F.max(F.when(F.col("share") == s, F.col("value"))), F.lit(0))
-    return stats.crossJoin(p.agg(of(0.5).alias("p50_length"), of(0.9).alias("p90_length"), of(0.99).alias("p99_length")))  # one row each
+    rate = lambda c: F.when(F.col("total_documents") > 0, rounded(F.try_divide(F.col(c), F.col("total_documents")), 4)).otherwise(F.lit(0.0))
+    return stats.withColumns({"short_threshold": F.lit(short), "empty_rate": rate("empty_documents"), "short_rate": rate("short_documents")})
 
 
 def frequency(corpus: DataFrame, column: str) -> DataFrame:

@@ -71,7 +71,7 @@ def model_label(adapter: Column, base: Column) -> Column:
 def predicted(records: DataFrame, predictor: Predictor, base_model: str, adapter: str | None = None, most: int | None = CONTEXT_CHARS, new_tokens: int = MAX_NEW_TOKENS) -> DataFrame:
     """(document_id, model, instruction, reference, prediction) by an injected predictor over the training prompt."""
     model = adapter or f"base:{base_model}"
-    rows = records.select("document_id", "instruction", F.col("output").alias("reference"), prompt(F.col("instruction"), F.col("input"), most).alias("prompt"))
+    rows = records.select(F.col("document_id").cast("string").alias("document_id"), "instruction", F.col("output").alias("reference"), prompt(F.col("instruction"), F.col("input"), most).alias("prompt"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -8,22 +8,22 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import catalog
+from quarry import catalog, file_queries
 from quarry.operators import evaluate, profile, qa, sft, split, validate
 from quarry.sources import files, jsonl
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | file_queries.QUERIES))
 def test_query_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "labels", "pages"):
+    for t in ("documents", "conversations", "labels", "pages", "benchmark", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    df = catalog.QUERIES[name](spark, SF)
-    other = con.sql(catalog.SQL[name])
+    df = (catalog.QUERIES | file_queries.QUERIES)[name](spark, SF)
+    other = con.sql((catalog.SQL | file_queries.SQL)[name])
     assert sorted(df.columns) == sorted(other.columns)
     by_name = lambda columns, rows: sorted(repr([r[columns.index(c)] for c in sorted(columns)]) for r in rows)
     assert by_name(df.columns, [tuple(r) for r in df.collect()]) == by_name(other.columns, other.fetchall())
