@@ -5,6 +5,12 @@ near_dup: one document of each near-duplicate component stays.
 decontaminate: documents that hold a benchmark item go.
 secrets: secrets in texts are masked.
 mixing: documents are drawn towards the sources' target weights, once per take, with their shard.
+
+Defined results, stage by stage as the operators have them: rows with a null or empty text are not toxic, are copies of
+nothing and hold neither benchmark items nor secrets; as they have no words, the mix never takes them.  Rows with a null id are
+judged by their texts, and never dropped as copies.  Of rows that repeat one, one stays.  Very long texts are read whole.  Columns
+beyond those of ``documents`` pass through all stages, whatever their names; the mix puts its copy and shard in
+place of columns of these names.  Empty tables give empty tables; without labels or benchmark these stages keep all.
 """
 
 from __future__ import annotations
@@ -55,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table; those before go once they have been read."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for no, (name, stage) in enumerate(STAGES):
+        done = docs
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if no:
+            common.forget(done)
     return docs
