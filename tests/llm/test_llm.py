@@ -739,3 +739,68 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, SF)
     names = spark.read.parquet(f"{SF}/documents.parquet").columns
     assert out.columns[: len(names)] == names and out.count() > 0
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept: planted cases, nulls, long and repeated rows, clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    bases = [prose(rng, 90) for _ in range(320)]
+    items = [prose(rng, n) for n in (15, 30, 5)]
+    texts = {}
+    for i, t in enumerate(bases):
+        w = t.split()
+        if i % 4 == 1:
+            w[10:10] = ["wretchlump"]
+        if i % 16 == 2:
+            w[20:20] = items[i // 16 % 3].split()
+        if i % 16 == 3:
+            w[30:30] = [f"password={rng.choice('abcdef')}1234567x", "AKIA" + "ABCDEFGH" * 2]
+        texts[i] = " ".join(w)
+    for i in range(400, 460):  # near and exact copies of clean documents
+        w = texts[4 * (i % 20)].split()
+        if i % 2:
+            w[5] = "changed"
+        texts[i] = " ".join(w)
+    texts |= {500: "lone " + "x" * 200_000 + " word " * 50_000, 501: "", 502: "two words"}
+    docs = [(i, t, "en", "abc"[i % 3], len(t)) for i, t in texts.items()]
+    docs += [(None, texts[0], None, None, None), (510, None, "en", "a", None), docs[4], (511, None, None, None, 0)]
+    labels = [(i, 1, int("wretchlump" in texts[i])) for i in range(320)]
+    clash = {c: F.lit(c) for c in ("component_id", "node", "spans", "_row", "score", "_gone", "_h", "h", "x")}
+    df = spark.createDataFrame(docs, DOCS).withColumns(clash)
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows, d = sorted([r[:2] for r in docs], key=repr), str(tmp_path)
+    for no, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, step, d)
+        out.write.parquet(str(tmp_path / f"out{no}"))
+        step = spark.read.parquet(str(tmp_path / f"out{no}"))
+        if name == "mixing":
+            break
+        assert step.columns == df.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in step.collect()), key=repr)
+        if name == "toxicity":
+            want = [r for r in rows if "wretchlump" not in (r[1] or "")]
+        elif name == "near_dup":
+            keep = brute_components([r for r in rows if r[0] is not None], 5, near_dup.NEAR)
+            want = sorted({r for r in rows if r[0] is not None and keep[r[0]][1] == r[0]} | {r for r in rows if r[0] is None}, key=repr)
+        elif name == "decontaminate":
+            want = [r for r in rows if not any(f" {x} " in f" {r[1]} " for x in items)]
+            assert len(want) < len(rows)
+        else:
+            mask = lambda t: t and re.sub(r"AKIA[A-Z0-9]+|password=[a-z0-9]+", "[SECRET]", t)
+            want = sorted([(i, mask(t)) for i, t in rows], key=repr)
+            assert want != rows
+        assert got == want, name
+        rows = got
+    assert step.columns == [*df.columns, "copy", "shard"]
+    assert {r["doc_id"] for r in step.collect()} <= {i for i, _ in rows}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows}
+    drawn = sum(size[r["doc_id"]] for r in step.select("doc_id").collect())
+    assert abs(drawn - sum(size.values())) <= 60_000  # the long document comes whole or not at all
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{d}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{d}/none").count() == 0
