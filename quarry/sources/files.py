@@ -1,8 +1,8 @@
 """Office documents as a corpus: discovery, per-format readers, error isolation, statistics.
 
 Readers take bytes and return (text, units, method).  DOCX, PPTX and XLSX are
-read with the standard library; PDF, OCR and XLS take a plug-in from
-``READERS``, and without one each such file becomes an error row.
+read with the standard library; PDF, OCR and XLS by ``optional_readers``, where
+the workers have their libraries, or by a plug-in; without either each such file becomes an error row.
 """
 
 from __future__ import annotations
@@ -232,15 +232,20 @@ def needs_ocr(text: str, pages: int) -> bool:
     return len(text.strip()) < max(100, 40 * pages)
 
 
+def _cleaned(text: str) -> str:
+    """What ``clean_text`` gives, for lengths that are compared before it."""
+    return re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", text.replace("\0", " "))).strip()
+
+
 def pdf_reader(native: Callable[[bytes], list[str]], ocr: Callable[[bytes], list[str]] | None = None) -> Reader:
     """A PDF reader from page extractors: OCR where the native text is thin, and only if its text is longer."""
 
     def read(data: bytes) -> Parts:
         pages = native(data)
-        text = framed_pages(pages)
+        text = _cleaned(framed_pages(pages))
         if ocr is not None and needs_ocr(text, len(pages)):
             seen = ocr(data)
-            other = framed_pages(seen)
+            other = _cleaned(framed_pages(seen))
             if len(other) > len(text):
                 return other, len(seen), "ocr"
         return text, len(pages), "native"
@@ -248,6 +253,41 @@ def pdf_reader(native: Callable[[bytes], list[str]], ocr: Callable[[bytes], list
     return read
 
 
+def _pdf_pages(data: bytes) -> list[str]:
+    from pypdf import PdfReader
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
+
+
+def _ocr_pages(languages: str) -> Callable[[bytes], list[str]]:
+    def read(data: bytes) -> list[str]:
+        import fitz
+        import pytesseract
+        from PIL import Image
+
+        with fitz.open(stream=data, filetype="pdf") as document:
+            scans = (page.get_pixmap(matrix=fitz.Matrix(2, 2), alpha=False).tobytes("png") for page in document)
+            return [pytesseract.image_to_string(Image.open(io.BytesIO(scan)), lang=languages) for scan in scans]
+
+    return read
+
+
+def _read_xls(data: bytes) -> Parts:
+    """As ``read_xlsx``, through pandas, whose column types decide how numbers look."""
+    parts, units = [], 0
+    for name, sheet in pd.read_excel(io.BytesIO(data), sheet_name=None, header=None, engine="xlrd").items():
+        parts.append(f"[SHEET: {name}]")
+        rows = [["" if pd.isna(v) else str(v) for v in row] for row in sheet.itertuples(index=False, name=None)]
+        parts += [" | ".join(row) for row in rows if any(v.strip() for v in row)]
+        units += sum(any(v.strip() for v in row) for row in rows)
+    return "\n".join(parts), units, "native"
+
+
+def optional_readers(ocr: bool = False, languages: str = "rus+eng") -> dict[str, Reader]:
+    """Readers of PDF and XLS files by libraries that workers may have (pypdf; PyMuPDF and pytesseract; xlrd); a file fails where they don't."""
+    return {".pdf": pdf_reader(_pdf_pages, _ocr_pages(languages) if ocr else None), ".xls": _read_xls}
+
+
 #: Larger files than a row can hold become error rows.
 LARGEST = (1 << 31) - 1
 

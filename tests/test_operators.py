@@ -192,6 +192,59 @@ def test_office_details(spark, tmp_path):
     assert [r["relative_path"] for r in files.discovered(spark, str(tmp_path), 1).collect()] == ["a.txt"]
 
 
+def test_endpoint():
+    import http.server
+    import threading
+
+    from quarry.sources import endpoint
+
+    asked = []
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": "[1]"}}]}).encode()
+            self.send_response(200 if asked[-1][1]["model"] == "m" else 500)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1/"
+    assert qa.parse_reply(endpoint.endpoint("m", url, 5)("текст", 3)) == [1]
+    path, body = asked[0]
+    assert path == "/v1/chat/completions" and body["temperature"] == 0.2 and "3" in body["messages"][1]["content"] and body["messages"][1]["content"].endswith("текст")
+    with pytest.raises(OSError):
+        endpoint.endpoint("other", url, 5)("x", 1)
+    server.shutdown()
+
+
+def test_commands(spark, tmp_path, capsys):
+    from quarry.__main__ import main, parser
+
+    defaults = vars(parser().parse_args(["generate-qa-dataset", "--input", "a", "--output", "b", "--model", "m"]))
+    assert (defaults["questions_per_document"], defaults["max_documents"], defaults["max_chars"], defaults["timeout"], defaults["context_chars"], defaults["min_grounding"], defaults["resume"]) == (5, 500, 24000, 300, 1800, 0.6, False)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one two")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF")
+    main(["extract-documents", "--input-dir", str(tmp_path / "in"), "--output", str(tmp_path / "corpus")])
+    assert '"processed":1' in capsys.readouterr().out
+    main(["inspect-corpus", "--input", str(tmp_path / "corpus")])
+    assert "'total_documents': 1" in capsys.readouterr().out
+    rows = [{"document_id": f"d{i}", "document_type": None, "instruction": "q", "input": "c", "output": "a"} for i in range(40)]
+    (tmp_path / "raw.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n \t\n")
+    main(["prepare-dataset", "--input", str(tmp_path / "raw.jsonl"), "--output", str(tmp_path / "valid")])
+    main(["split-dataset", "--input", str(tmp_path / "valid"), "--output-dir", str(tmp_path / "split")])
+    main(["format-sft-dataset", "--input", str(tmp_path / "split" / "train"), "--output", str(tmp_path / "sft")])
+    assert capsys.readouterr().out.split() == ["40", "36"] and jsonl.read_training(spark, str(tmp_path / "sft")).count() == 36
+    with pytest.raises(SystemExit):
+        main(["split-dataset"])
+
+
 def test_line_numbers_over_several_files(spark, tmp_path):
     want, parts = [], {"part-00000": 2, "part-00001": 50, "part-00002": 3}
     for name, n in parts.items():
