@@ -63,6 +63,8 @@ HITS = 5
 PART_BYTES = 32 << 20
 #: Words of texts that are multiplied at once.
 BLOCK = 1 << 16
+#: Cells of a table of windows by items.
+CELLS = 1 << 21
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -221,12 +223,16 @@ class Benchmark:
 
     def __post_init__(self) -> None:
         self.table = with_zero(self.space.rows)
-        #: The items' rare words by number, and for each item the numbers of its own.
+        #: The items' rare words by number, and for each number the items that have it.
         self.words = np.unique(np.array([w for x in self.items for w in x.rare_words], np.uint64))
         self.known = np.zeros(1 << 16, bool)
         self.known[(self.words >> np.uint64(48)).astype(np.int64)] = True
-        self.own = [frozenset(np.searchsorted(self.words, np.array(list(x.rare_words), np.uint64)).tolist()) for x in self.items]
-        self.least = [min(x.least_rare, x.least_paired) for x in self.items]
+        own = [np.searchsorted(self.words, np.array(sorted(x.rare_words), np.uint64)) for x in self.items]
+        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        number = np.concatenate([np.empty(0, np.int64), *own])
+        self.owners = owner[np.argsort(number, kind="stable")]
+        self.first_owner = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(self.words)))))
+        self.least = np.array([min(x.least_rare, x.least_paired) for x in self.items], np.int64)
         self.vectors = np.stack([x.vector for x in self.items]).astype(np.float32) if self.items else np.zeros((0, 1), np.float32)
         self.enough = COSINE * np.sqrt([x.n for x in self.items])  # over the root of the window's length
 
@@ -375,11 +381,12 @@ def found_runs(h: np.ndarray, bench: Benchmark) -> list[int]:
     return out
 
 
-def near_windows(texts: list[np.ndarray], bench: Benchmark) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(text, from, to, items): windows whose latent cosine to items is high enough, with half a window on either side."""
+def near_windows(texts: list[np.ndarray], bench: Benchmark) -> Iterator[tuple[int, int, int, int]]:
+    """(text, from, to, item): windows whose latent cosine to an item is high enough, with half a window on either side, if these hold enough rare words of it."""
     size = np.array([len(h) for h in texts])
     begin, total = np.cumsum(size) - size, int(size.sum())
-    term = bucket(np.concatenate(texts))
+    whole_texts = np.concatenate(texts)
+    term, (place, number) = bucket(whole_texts), known_words(whole_texts, bench)
     for w, k0, k1 in bench.classes if total else ():
         half = w // 2
         n = -(-size // half)  # halves of windows
@@ -392,14 +399,29 @@ def near_windows(texts: list[np.ndarray], bench: Benchmark) -> Iterator[tuple[in
         # A text's last half is a window of its own only if it is the first too.
         whole = ~last | (no == 0)
         v, text, start = v[whole], text[whole], start[whole]
-        cos = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)) @ bench.vectors[k0:k1].T
-        at, item = np.nonzero(cos >= bench.enough[k0:k1] / np.sqrt(w))
-        if not len(at):
-            continue
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
-        for a, items in zip(at[cuts].tolist(), np.split(item + k0, cuts[1:]), strict=True):
-            t, x = int(text[a]), int(start[a] - begin[text[a]])
-            yield t, max(0, x - half), min(int(size[t]), x + w + half), items.tolist()
+        low, high = np.maximum(start - half, begin[text]), np.minimum(start + w + half, begin[text] + size[text])
+        for x in range(0, len(v), step := max(1, CELLS // len(bench.items))):
+            y = slice(x, x + step)
+            cos = (v[y] / np.maximum(np.linalg.norm(v[y], axis=1, keepdims=True), 1e-30)) @ bench.vectors[k0:k1].T
+            # Less than what any rule asks for needs no closer look.
+            near = (cos >= bench.enough[k0:k1] / np.sqrt(w)) & (shared_words(place, number, low[y], high[y], bench)[:, k0:k1] >= bench.least[k0:k1])
+            at, item = np.nonzero(near)
+            at += x
+            yield from zip(text[at].tolist(), (low[at] - begin[text[at]]).tolist(), (high[at] - begin[text[at]]).tolist(), (item + k0).tolist(), strict=True)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, ``n`` of them."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def shared_words(place: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """By stretch and item, how many of the stretch's words are rare ones of the item."""
+    a, b = np.searchsorted(place, low), np.searchsorted(place, high)
+    word = number[spread(a, b - a)]
+    n = bench.first_owner[word + 1] - bench.first_owner[word]
+    cell = np.repeat(np.repeat(np.arange(len(low)), b - a) * len(bench.items), n) + bench.owners[spread(bench.first_owner[word], n)]
+    return np.bincount(cell, minlength=len(low) * len(bench.items)).reshape(len(low), -1)
 
 
 def covering_windows(h: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, int, int]]:
@@ -423,16 +445,8 @@ def matches_of(texts: list[np.ndarray], bench: Benchmark) -> list[dict[int, floa
                 out[no][k] = max(out[no].get(k, 0.0), share)
 
     if bench.classes:
-        begin = np.cumsum([0, *map(len, texts)]).tolist()
-        place, number = known_words(np.concatenate(texts), bench)
-        own, least = bench.own, bench.least
-        for no, low, high, items in near_windows(texts, bench):
-            a, b = np.searchsorted(place, (begin[no] + low, begin[no] + high))
-            there = set(number[a:b].tolist())
-            for k in items:
-                # Less than what any rule asks for needs no closer look.
-                if len(own[k] & there) >= least[k]:
-                    check(no, low, high, k)
+        for at in near_windows(texts, bench):
+            check(*at)
         for no, h in enumerate(texts):
             for k, low, high in covering_windows(h, bench):
                 check(no, low, high, k)
