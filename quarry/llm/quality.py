@@ -104,9 +104,10 @@ class Model:
         """Votes for label 1 among the nearest labelled vectors of term rows ``x``."""
         if not len(self.labels):
             return np.zeros(len(x))
-        cos = self.project(x) @ self.vectors.T
-        near = nearest(cos, K)
-        w = np.clip(np.take_along_axis(cos, near, 1), 0, None).astype(np.float64) ** SHARPNESS * self.weights[near]
+        # Rounded, as products of blocks of another size differ in the last digits: equal texts get equal scores.
+        cos = np.round(self.project(x.astype(np.float64)) @ self.vectors.T, 9)
+        near = np.sort(nearest(cos, K), axis=1)
+        w = np.clip(np.take_along_axis(cos, near, 1), 0, None) ** SHARPNESS * self.weights[near]
         total = w.sum(1)
         votes = (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
         return np.where(x.any(1), np.clip(votes, 0, 1), 0.0)
@@ -124,10 +125,10 @@ def leading_vectors(a: np.ndarray, dimensions: int) -> np.ndarray:
 def learn(x: np.ndarray, labels: np.ndarray, totals: tuple[int, int] | None = None, dimensions: int = DIMENSIONS) -> Model:
     """A model from term rows and their labels; totals: how many texts of label 0 and 1 they stand for."""
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    projection = idf[:, None] * leading_vectors(unit_rows(x * idf), dimensions)
+    projection = (idf[:, None] * leading_vectors(unit_rows(x * idf), dimensions)).astype(np.float64)
     sizes = [max(1, int((labels == c).sum())) for c in (0, 1)]
     weights = np.array([t / s for t, s in zip(totals or sizes, sizes, strict=True)])
-    return Model(projection, unit_rows(x @ projection).astype(np.float32), labels.astype(np.float64), weights[labels.astype(int)])
+    return Model(projection, unit_rows(x.astype(np.float64) @ projection), labels.astype(np.float64), weights[labels.astype(int)])
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
 
     got = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x binary").toArrow()
     if not got.num_rows:
-        return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
+        return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0))
     got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, TERMS)
     totals = dict(labels.where(~held_out(F.col("doc_id").cast("long")) & F.col("quality").isin(0, 1)).groupBy(F.col("quality").cast("int")).count().collect())

@@ -732,6 +732,92 @@ def test_words():
     assert len(set(words.hashes(long).tolist())) == 1 and len(words.hashes(long)) == 100_000
 
 
+def test_edge_rows(spark):
+    """Nulls, empty, repeated and very long texts, clashing columns and empty tables, for the operators on single documents."""
+    long = "word " * 200_000 + "x" * 500_000 + " \n" * 100_000
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (None, "one two"), (4, long), (5, "| ".join("junk" for _ in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.withColumns({c: F.lit(c) for c in ("score", "predicted", "spans", "node", "key", "words", "label", "counts", "h", "items", "n_tokens", "fp", "x")})
+    learnt = spark.createDataFrame([(100 + i, ("| " if i % 2 else "") + prose(random.Random(i), 30) + " wretchlump" * (i % 3 == 0)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(100 + i, 1 - i % 2, int(i % 3 == 0)) for i in range(120)] + [(None, 1, 1), (2, None, None), (1, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "c d e"), (2, None), (3, "")], "item_id long, text string")
+    tox, qual = toxicity.fit(learnt, labels), quality.fit(learnt, labels)
+    runs = {
+        "tokens": lambda d: token_counts.count_tokens(d).select("doc_id", "n_bytes", "n_tokens"),
+        "toxicity": lambda d: toxicity.scored(d, tox),
+        "quality": lambda d: quality.scored(d, qual),
+        "decontaminate": lambda d: decontaminate.flagged(d, bench),
+        "secrets": lambda d: secrets.scan(d).select("doc_id", "spans"),
+        "near_dup": lambda d: near_dup.components(d),
+    }
+    for name, run in runs.items():
+        got = run(df).collect()
+        assert len(got) == len(rows), name
+        by_id = defaultdict(list)
+        for r in got:
+            by_id[r["doc_id"]].append(tuple(r))
+        assert by_id[1][0] == by_id[1][1] and set(by_id) == {1, 2, 3, 4, 5, None}, name
+        if name in ("toxicity", "quality"):
+            assert by_id[2][0][1] == by_id[3][0][1] == 0.0 and all(0 <= x[0][1] <= 1 for x in by_id.values())
+        if name == "decontaminate":
+            assert {i for i, x in by_id.items() if x[0][1]} == {1}  # a short item, word for word
+        assert run(df.limit(0)).count() == 0, name
+
+
+def test_toxicity_end_to_end(spark):
+    """The query against a model made of the same texts in one process."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in [*docs, *labels]}
+    words_of = lambda t: sorted({w.strip(toxicity.TRIM) for w in (t or "").lower().split()} - {""})
+    model = toxicity.learn([(labels[i], words_of(docs[i])) for i in sorted(labels) if i in docs and not out[i]], tuple(sum(labels[i] == c for i in labels if not out[i]) for c in (0, 1)))
+    rows = toxicity.query(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        assert r["held_out"] == out[r["doc_id"]] and math.isclose(r["score"], model.score(docs[r["doc_id"]]), abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_decontamination_end_to_end(spark):
+    """The query against the rules of confirmation over every stretch of every text."""
+    docs = {r["doc_id"]: words.hashes((r["text"] or "").encode()).tolist() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    bench = next(decontaminate.parts_of(*(common.table(spark, SF, t) for t in ("documents", "benchmark"))))
+    want = defaultdict(set)
+    for i, h in docs.items():
+        for item in bench.items:
+            if len(item.rare_words & set(h)) >= min(item.least_rare, item.least_paired) and any(decontaminate.confirmed(item, h[max(0, a - 32) : a + 96]) for a in range(0, max(1, len(h)), 8)):
+                want[i] |= set(item.ids)
+    got = {r["doc_id"]: set(r["items"]) for r in decontaminate.query(spark, SF).collect() if r["contaminated"]}
+    assert got == want and got
+
+
+def test_paraphrases_are_found():
+    """Recall against the rules over every window, for items with words replaced, left out or put in, and with parts reordered."""
+    rng = random.Random(20)
+    items = [prose(rng, rng.randrange(15, 60)) for _ in range(60)]
+    vectors = np.random.default_rng(20).standard_normal((decontaminate.TERMS, 96)).astype(np.float32)
+    bench = decontaminate.prepare_items(list(enumerate(items)), decontaminate.Space(vectors, np.zeros(decontaminate.TERMS)))
+
+    def variants(w):
+        yield w
+        yield [rng.choice(VOCABULARY) + "x" if i % 3 == 1 else x for i, x in enumerate(w)]
+        yield [rng.choice(VOCABULARY) + "x" if i % 2 else x for i, x in enumerate(w)]
+        groups = [w[i : i + 4] for i in range(0, len(w), 4)]
+        rng.shuffle(groups)
+        yield [x for g in groups for x in g]
+        yield [x for x in w if rng.random() > 0.2]
+
+    n = hit = false = 0
+    for k, item in enumerate(items):
+        for w in variants(item.split()):
+            body = prose(rng, 300).split()
+            at = rng.randrange(301)
+            h = words.hashes(" ".join([*body[:at], *w, *body[at:]]).encode())
+            by_rule = any(decontaminate.confirmed(next(x for x in bench.items if k in x.ids), h[max(0, a) : a + 128].tolist()) for a in range(at - 64, at + 64, 4))
+            got = {i for m in decontaminate.matches(h, bench) for i in bench.items[m].ids}
+            n, hit, false = n + by_rule, hit + (by_rule and k in got), false + len(got - {k})
+    assert n > 250 and hit >= 0.95 * n and false == 0, (n, hit, false)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
