@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, unit, word_count, written
+from .common import forget, let, table, unit, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -106,8 +106,9 @@ def _splitter(level: int, seed: int):
     return step
 
 
-def split_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """(source_no, shard, n, first): each shard's run of each source's block slots, from (source_no, quota)."""
+def split_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> tuple[DataFrame, list[DataFrame]]:
+    """(source_no, shard, n, first): each shard's run of each source's block slots, from (source_no, quota); and the tables it is read from."""
+    tables = []
     node = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("source_no", F.col("quota").cast("int").alias("q")))), lambda x: x["q"]).alias("q")).select(F.lit(0).alias("shard"), "q")
     for level in range(levels):
         total = F.aggregate("q", F.lit(0), lambda a, x: a + x)
@@ -117,10 +118,11 @@ def split_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
         step = _splitter(level, seed)
         node = node.withColumn("left", F.aggregate("q", start, step, lambda a: a["out"]))
         right = F.zip_with("q", "left", lambda x, y: x - y)
-        node = written(node.select(F.explode(F.array(F.struct((2 * F.col("shard")).alias("shard"), F.col("left").alias("q")), F.struct((2 * F.col("shard") + 1).alias("shard"), right.alias("q")))).alias("c")).select("c.shard", "c.q"), "tree")
+        node = written(node.select(F.explode(F.array(F.struct((2 * F.col("shard")).alias("shard"), F.col("left").alias("q")), F.struct((2 * F.col("shard") + 1).alias("shard"), right.alias("q")))).alias("c")).select("c.shard", "c.q"), "tree", 2 ** (level + 1))
+        tables.append(node)
     leaves = node.select("shard", F.posexplode("q").alias("source_no", "n"))
     first = F.sum("n").over(Window.partitionBy("source_no").orderBy("shard")) - F.col("n")
-    return leaves.withColumn("first", first).where("n > 0")
+    return leaves.withColumn("first", first).where("n > 0"), tables
 
 
 def _filled(a: Column, x: Column) -> Column:
@@ -138,12 +140,12 @@ def _filled(a: Column, x: Column) -> Column:
 def plan(docs: DataFrame, blocks: int = BLOCKS, levels: int = LEVELS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Rows of ``docs`` (doc_id, source, size, _key) with source_size, target, takes and shards."""
     docs = with_blocks(docs, blocks, seed)
-    sums = written(docs.groupBy("source", "_block").agg(F.sum("size").alias("words")), "blocks")
+    sums = written(docs.groupBy("source", "_block").agg(F.sum("size").alias("words")), "blocks", docs.count())
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     aims = aims.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     # Rounding must not turn an exact number of passes into one less and a whole rest.
     aims = aims.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int"))
-    aims = written(aims.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "targets")
+    aims = written(aims.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "targets", sums.known_rows)
     b = sums.alias("b").join(aims.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source"))).select("a.*", "b._block", "b.words")
     by = Window.partitionBy("source_no").orderBy(unit(F.lit(seed), F.lit("rest"), F.col("source_no"), F.col("_block")), "_block")
     b = b.withColumn("rank", F.row_number().over(by) - 1)
@@ -152,10 +154,10 @@ def plan(docs: DataFrame, blocks: int = BLOCKS, levels: int = LEVELS, seed: int
     start = F.struct(F.col("rest").alias("open"), F.array().cast("array<int>").alias("in"), F.lit(None).cast("struct<words:bigint,rank:int>").alias("cut"))
     b = b.withColumn("fill", F.aggregate(listed, start, _filled))
     b = b.withColumns({"extra": F.array_contains("fill.in", F.col("rank")).cast("int"), "open": F.col("fill.open"), "cut": F.coalesce(F.col("fill.cut.rank") == F.col("rank"), F.lit(False)) & (F.col("fill.open") > 0)}).drop("fill")
-    b = written(b, "plan")
+    b = written(b, "plan", sums.known_rows)
     whole = F.col("extra") + F.col("cut").cast("int")
     quotas = b.groupBy("source_no").agg((F.first("passes") * F.count("*") + F.sum(whole)).alias("quota"), F.count("*").alias("n_blocks"))
-    tree = split_tree(quotas, levels, seed)
+    tree, tables = split_tree(quotas, levels, seed)
     # A block's slots: one for each pass and, if drawn again, one in the rest's permutation, which the tree takes first.
     slots = b.join(quotas.select("source_no", "n_blocks"), "source_no").withColumns({"drawn": F.sum(whole).over(Window.partitionBy("source_no")), "nth": F.sum(whole).over(Window.partitionBy("source_no").orderBy("rank")) - 1})
     kept = ["source_no", "source", "_block", "source_size", "target", "passes", "extra", "cut", "open"]
@@ -167,7 +169,8 @@ def plan(docs: DataFrame, blocks: int = BLOCKS, levels: int = LEVELS, seed: int
     at = tree.select(F.col("source_no").alias("t_no"), "shard", "first", "n")
     slots = slots.join(at, (F.col("source_no") == F.col("t_no")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("first") + F.col("n")), "left")
     chosen = slots.groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("_no", "shard"))).alias("s"))
-    chosen = written(chosen.withColumn("shards", F.transform(F.filter("s", lambda x: x["shard"].isNotNull()), lambda x: x["shard"])).drop("s"), "slots")
+    chosen = written(chosen.withColumn("shards", F.transform(F.filter("s", lambda x: x["shard"].isNotNull()), lambda x: x["shard"])).drop("s"), "slots", sums.known_rows)
+    forget(sums, aims, b, *tables)
     d, c = docs.alias("d"), chosen.alias("c")
     out = d.join(c, F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._block") == F.col("c._block"))).select("d.*", "c.source_size", "c.target", "c.source_no", "c.passes", "c.extra", "c.cut", "c.open", "c.shards")
     # In a cut block documents come in the permutation's order while at least half of each is below the rest.  The order

@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(map(copy_key, found), pa.string()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "key", "words"])
 
     rows = labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "label", "text").mapInArrow(split, "doc_id long, label int, key string, words array<string>")
-    rows = written(rows, "sample")
+    rows = written(rows, "sample", 2 * per_class, 256)
     first = rows.where("label = 1").groupBy("key").agg(F.min("doc_id").alias("first"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     totals = dict(labels.where(~held_out(F.col("doc_id").cast("long")) & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int")).count().collect())
