@@ -42,8 +42,10 @@ class Kind:
 
 BASE = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Kind("hex", r"[0-9a-f]+", 0, 32),
+    # The least length stands in the pattern: a run's later starts are shorter, so matches are those of AKIA[A-Z0-9]+ and
+    # [0-9a-f]+ that are long enough, without an entry for every letter a to f.
+    Kind("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    Kind("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
 

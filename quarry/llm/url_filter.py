@@ -131,10 +131,10 @@ def matched(df: DataFrame, host: str, path: str, rules: tuple[Rule, ...]) -> Dat
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): URLs and what their HTML names as canonical or refreshes to."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^<>]*>"), F.lit(0))
     canonical = r"""(?i)^<link\b.*\brel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)"""
     tags = F.filter(tags, lambda t: t.rlike("(?s)" + canonical) | t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""))
-    own = F.regexp_extract(F.col(html), r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    own = F.regexp_extract(F.col(html), r"""(?i)<base\b[^<>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     found = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), own.alias("base"), F.explode(tags).alias("tag"))
     href = F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     fresh = F.regexp_extract("tag", r"""(?i)\bcontent\s*=\s*["']?\s*[0-9.]+\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1)
