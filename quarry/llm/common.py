@@ -71,7 +71,9 @@ def written(df: DataFrame, what: str, rows: int | None = None, per_file: int = 4
         df = df.coalesce(max(1, -(-rows // per_file)))
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.known_rows, out.known_path = seen.get["n"], path
+    # Where the plan turned out to be empty nothing was observed.
+    n = seen.get.get("n")
+    out.known_rows, out.known_path = out.count() if n is None else n, path
     return out
 
 
