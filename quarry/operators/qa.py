@@ -35,11 +35,15 @@ def parse_reply(reply: str) -> list:
 
 
 def coerced(items: list) -> list[dict]:
-    """Each item as strings, as ``str`` gives them; items that are no objects are marked."""
+    """Each item as strings, as ``str`` gives them; items that are no objects are marked.
+
+    A null input is a missing one: as the word None it would be quoted from every text with these letters.
+    """
     out = []
     for item in items:
         if isinstance(item, dict):
-            out.append({"is_object": True} | {k: str(item.get(k, "")) for k in ("instruction", "input", "output")})
+            fragment = item.get("input")
+            out.append({"is_object": True, "input": "" if fragment is None else str(fragment)} | {k: str(item.get(k, "")) for k in ("instruction", "output")})
         else:
             out.append({"is_object": False, "instruction": None, "input": None, "output": None})
     return out

@@ -54,6 +54,20 @@ def test_dataset_with_statistics_and_resume(spark):
     assert stats.first().asDict() == {"documents": 1, "failed": 1, "skipped_done": 1, "skipped_empty": 1, "examples": 1, "empty": 1, "duplicates": 1, "ungrounded": 2}
 
 
+def test_counters_with_null_input(spark):
+    # The benchmark of sf0.1 holds texts with the letters "none", which a null input must not quote.
+    corpus = spark.createDataFrame([("d1", "Oneshe thinoned eroues.", 1), ("d2", "Nobody answered.", 2)], "document_id string, text string, ord int")
+
+    def reply(text, n):
+        return json.dumps([{"instruction": "What?", "input": None, "output": text}, {"instruction": " what ", "input": "", "output": text}])
+
+    _records, stats = qa.build_dataset(corpus, reply)
+    got = stats.first().asDict()
+    assert (got["examples"], got["duplicates"], got["ungrounded"]) == (2, 2, 0)
+    assert qa.coerced([{"instruction": None, "input": None, "output": "x"}]) == [{"is_object": True, "instruction": "None", "input": "", "output": "x"}]
+    assert qa.coerced([{"input": "None"}, {"input": False}])[0]["input"] == "None"
+
+
 def test_first_accepted_as_in_order(spark):
     rng = random.Random(5)
     rows = [(d, p, rng.choice("abc"), rng.random() < 0.2, rng.choice([0.1, 0.6, 0.9])) for d in range(60) for p in range(8)]
