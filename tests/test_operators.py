@@ -68,6 +68,20 @@ def test_counters_with_null_input(spark):
     assert qa.coerced([{"input": "None"}, {"input": False}])[0]["input"] == "None"
 
 
+def test_records_with_null_input(spark):
+    """The first of equal questions is the record, and its context is the text, whatever letters that holds."""
+    long = "\n".join(["Oneshe thinoned eroues.", *["filler words here"] * 30])
+    corpus = spark.createDataFrame([("d1", "Oneshe thinoned eroues.", 1), ("d2", "None", 2), ("d3", long, 3)], "document_id string, text string, ord int")
+
+    def reply(text, n):
+        return json.dumps([{"instruction": "What?", "input": None, "output": text[:23]}, {"instruction": " what ", "input": "", "output": text[:23]}])
+
+    records, _stats = qa.build_dataset(corpus, reply, size=100)
+    got = {r["document_id"]: (r["instruction"], r["input"], r["grounding"]) for r in records.collect()}
+    assert got["d1"] == ("What?", "Oneshe thinoned eroues.", 1.0) and got["d2"] == ("What?", "None", 1.0)
+    assert got["d3"][0] == "What?" and got["d3"][1].startswith("Oneshe thinoned eroues.\n") and len(got) == 3
+
+
 def test_first_accepted_as_in_order(spark):
     rng = random.Random(5)
     rows = [(d, p, rng.choice("abc"), rng.random() < 0.2, rng.choice([0.1, 0.6, 0.9])) for d in range(60) for p in range(8)]
